@@ -18,6 +18,18 @@ def _score_rows(sums: DataFrame, doc: str, label: str, classes: list, priors: Co
     return sums.select(doc, label, scores.alias("scores")).withColumn("classes", F.array(*[F.lit(c) for c in classes]))
 
 
+def _weighted_sums(test: DataFrame, weights: DataFrame, doc: str, label: str, k: int, tokens: str) -> DataFrame:
+    """doc, label, g0..g(k-1), known: term counts times term weights, and the number of known tokens.
+
+    ``weights`` has one row per term, so a hot term only repeats on the side of
+    the documents, which the adaptive skew join splits.
+    """
+    joined = term_frequencies(test, doc, label, tokens=tokens, keep_empty=True).join(weights, "term", "left")
+    gains = [F.sum(F.coalesce(F.col("tf") * F.get("w", F.lit(i)), F.lit(0.0))).alias(f"g{i}") for i in range(k)]
+    known = F.sum(F.when(F.col("w").isNotNull(), F.col("tf")).otherwise(0)).alias("known")
+    return joined.groupBy(doc, label).agg(*gains, known)
+
+
 def _priors(train: DataFrame, label: str, classes: list, smoothing: float) -> Column:
     k = len(classes)
     return train.agg(
@@ -46,18 +58,8 @@ def multinomial(
             F.count("*").alias("v"), F.array(*[F.sum(F.get("counts", F.lit(i))) for i in range(len(classes))]).alias("n")
         ).alias("s")
     ).scalar()
-    tf = term_frequencies(test, doc, label, tokens=tokens, keep_empty=True)
-    joined = tf.join(counts, "term", "left")
-    gains = [
-        F.sum(
-            F.when(
-                F.col("counts").isNotNull(), F.col("tf") * (F.log(F.get("counts", F.lit(i)) + F.lit(smoothing)))
-            ).otherwise(0.0)
-        ).alias(f"g{i}")
-        for i in range(len(classes))
-    ]
-    known = F.sum(F.when(F.col("counts").isNotNull(), F.col("tf")).otherwise(0)).alias("known")
-    sums = joined.groupBy(doc, label).agg(*gains, known)
+    weights = [F.log(F.get("counts", F.lit(i)) + F.lit(smoothing)) for i in range(len(classes))]
+    sums = _weighted_sums(test, counts.select("term", F.array(*weights).alias("w")), doc, label, len(classes), tokens)
     bases = [
         F.col(f"g{i}") - F.col("known") * F.log(F.get(sizes["n"], F.lit(i)) + F.lit(smoothing) * sizes["v"])
         for i in range(len(classes))
@@ -118,10 +120,8 @@ def one_vs_rest(
         own, everything = F.get("counts", F.lit(i)), F.col("all")
         return F.log(own + lam) - F.log(everything - own + lam)
 
-    joined = term_frequencies(test, doc, label, tokens=tokens, keep_empty=True).join(counts, "term", "left")
-    known = F.col("counts").isNotNull()
-    gains = [F.sum(F.when(known, F.col("tf") * weight(i)).otherwise(0.0)).alias(f"g{i}") for i in k]
-    sums = joined.groupBy(doc, label).agg(*gains, F.sum(F.when(known, F.col("tf")).otherwise(0)).alias("known"))
+    weights = counts.select("term", F.array(*[weight(i) for i in k]).alias("w"))
+    sums = _weighted_sums(test, weights, doc, label, len(classes), tokens)
     priors = train.agg(
         F.array(
             *[

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.functions.text import hash_bucket
 from corpuslab.functions.vectors import sparse_vector
+from corpuslab.operators.ordering import top_per_group
 
 # More classes than this are no classification, but an id column by mistake.
 MAX_CLASSES = 1000
@@ -124,9 +125,12 @@ def chi2(corpus: DataFrame, label: str, tokens: str = "tokens") -> DataFrame:
         F.array(*[F.count_if(F.col(label) == c) / F.count("*").cast("double") for c in classes]).alias("s")
     ).scalar()
     counts = class_term_counts(corpus, label, classes, tokens)
-    counts = counts.select("term", "counts", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("_n"))
+    # The subquery becomes a column first: lambdas may not contain one.
+    counts = counts.select(
+        "term", "counts", share.alias("_s"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("_n")
+    )
     parts = F.zip_with(
-        "counts", share, lambda o, s: (o - s * F.col("_n")) * (o - s * F.col("_n")) / (s * F.col("_n"))
+        "counts", "_s", lambda o, s: (o - s * F.col("_n")) * (o - s * F.col("_n")) / (s * F.col("_n"))
     )
     return counts.select("term", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("chi2"))
 

@@ -9,7 +9,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.functions.vectors import dot, let, squared_distance, unit
+from corpuslab.functions.vectors import dot, squared_distance, unit
 from corpuslab.operators.features import MAX_CLASSES
 from corpuslab.operators.ordering import top_n, top_per_group
 
@@ -22,7 +22,8 @@ def nearest_to(rows: DataFrame, key: str, vector: str, query, n: int) -> DataFra
     """The ``n`` rows closest to one row by cosine, itself included; zero rows have no direction and are left out."""
     units = rows.select(key, unit(vector).alias("_u")).where(F.get("_u", F.lit(0)).isNotNull())
     wanted = units.where(F.col(key) == query).select("_u").scalar()
-    scored = units.select(key, dot("_u", wanted).alias("score"))
+    # The subquery becomes a column first: lambdas may not contain one.
+    scored = units.select(key, "_u", wanted.alias("_q")).select(key, dot("_u", "_q").alias("score"))
     return top_n(scored, n, F.desc(F.round("score", 6)), F.asc(key))
 
 
@@ -43,11 +44,11 @@ def nearest_centroid(train: DataFrame, test: DataFrame, key: str, label: str, ve
     guarded = listed.select(
         F.when(F.size("c") <= MAX_CLASSES, F.col("c")).otherwise(F.raise_error(F.lit("too many classes"))).alias("c")
     ).scalar()
-    return test.select(
+    return test.select(key, label, vector, guarded.alias("_c")).select(
         key,
         label,
-        F.transform(guarded, lambda c: c[label]).alias("classes"),
-        let(F.col(vector), lambda v: F.transform(guarded, lambda c: -squared_distance(c["centroid"], v))).alias("scores"),
+        F.transform("_c", lambda c: c[label]).alias("classes"),
+        F.transform("_c", lambda c: -squared_distance(c["centroid"], vector)).alias("scores"),
     )
 
 
@@ -65,13 +66,13 @@ def knn_join(
     n_row = -(-max(rows.count(), 1) // block_rows)
     left = queries.select(
         F.col(query_key).alias("qid"), F.col(vector).alias("vec"), F.pmod(F.xxhash64(query_key), F.lit(n_query)).alias("bq")
-    ).withColumn("br", F.explode(F.sequence(F.lit(0), F.lit(n_row - 1))).cast("long"))
+    ).withColumn("br", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_row - 1).cast("long"))))
     right = rows.select(
         F.col(key).alias("rid"),
         F.col(vector).alias("vec"),
         F.col(carry).alias("carry"),
         F.pmod(F.xxhash64(key), F.lit(n_row)).alias("br"),
-    ).withColumn("bq", F.explode(F.sequence(F.lit(0), F.lit(n_query - 1))).cast("long"))
+    ).withColumn("bq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_query - 1).cast("long"))))
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:

@@ -207,7 +207,7 @@ def area_tokens(spark, folder):
 @query(
     "weight_filter",
     f"WITH {TF}, tot AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY doc_id)"
-    " SELECT doc_id, term, printf('%.3f', CAST(tf AS DOUBLE) / n) AS weight FROM tf JOIN tot USING (doc_id) WHERE CAST(tf AS DOUBLE) / n > 0.1",
+    " SELECT doc_id, term, printf('%.3f', floor(tf * 1000.0::DOUBLE / n + 0.5) / 1000) AS weight FROM tf JOIN tot USING (doc_id) WHERE CAST(tf AS DOUBLE) / n > 0.1",
 )
 def weight_filter(spark, folder):
     rows = corpus(spark, folder).withColumn("n", F.size("tokens"))
