@@ -160,7 +160,7 @@ def key_values(c: Column | str) -> Column:
         has_key = head.contains(":")
         key = F.when(has_key, F.trim(F.substring_index(head, ":", 1))).otherwise(F.lit(""))
         first = F.when(has_key, F.trim(F.regexp_replace(head, "^[^:]*:", ""))).otherwise(F.trim(head))
-        rest = F.transform(F.slice(lines, F.lit(2), F.size(lines)), F.trim)
+        rest = F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda line: F.trim(line))
         value = F.array_join(F.filter(F.concat(F.array(first), rest), lambda v: v != ""), " ")
         return F.struct(i.alias("pos"), key.alias("key"), value.alias("value"))
 
