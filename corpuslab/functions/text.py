@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslab.functions.vectors import let
+from corpuslab.functions.arrays import let
 from corpuslab.functions.words import COUNTERS
 
 # Fixed value: characters a word may consist of after upper-casing.

@@ -7,20 +7,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslab.functions.arrays import let
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``.
-
-    An expression used inside a lambda would otherwise be evaluated again for
-    every array element.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def total(values: Column | str) -> Column:
     return F.aggregate(_col(values), F.lit(0.0), lambda acc, x: acc + x)
 

@@ -13,9 +13,14 @@ from corpuslab.operators.features import class_term_counts, classes_of
 from corpuslab.operators.terms import term_frequencies
 
 
-def _score_rows(sums: DataFrame, doc: str, label: str, classes: list, priors: Column, bases: list[Column]) -> DataFrame:
-    scores = F.array(*[F.get(priors, F.lit(i)) + base for i, base in enumerate(bases)])
-    return sums.select(doc, label, scores.alias("scores")).withColumn("classes", F.array(*[F.lit(c) for c in classes]))
+def _score_rows(sums: DataFrame, doc: str, label: str, classes: list, bases: list[Column], **scalars: Column) -> DataFrame:
+    """``bases`` refer to the columns of ``sums`` and to ``scalars``, subqueries that become columns first.
+
+    ``_priors`` must be among the scalars.
+    """
+    rows = sums.select("*", *[value.alias(name) for name, value in scalars.items()])
+    scores = F.array(*[F.get("_priors", F.lit(i)) + base for i, base in enumerate(bases)])
+    return rows.select(doc, label, scores.alias("scores"), F.array(*[F.lit(c) for c in classes]).alias("classes"))
 
 
 def _weighted_sums(test: DataFrame, weights: DataFrame, doc: str, label: str, k: int, tokens: str) -> DataFrame:
@@ -61,10 +66,11 @@ def multinomial(
     weights = [F.log(F.get("counts", F.lit(i)) + F.lit(smoothing)) for i in range(len(classes))]
     sums = _weighted_sums(test, counts.select("term", F.array(*weights).alias("w")), doc, label, len(classes), tokens)
     bases = [
-        F.col(f"g{i}") - F.col("known") * F.log(F.get(sizes["n"], F.lit(i)) + F.lit(smoothing) * sizes["v"])
+        F.col(f"g{i}") - F.col("known") * F.log(F.get("_sizes.n", F.lit(i)) + F.lit(smoothing) * F.col("_sizes.v"))
         for i in range(len(classes))
     ]
-    return _score_rows(sums, doc, label, classes, _priors(train, label, classes, smoothing), bases)
+    priors = _priors(train, label, classes, smoothing)
+    return _score_rows(sums, doc, label, classes, bases, _priors=priors, _sizes=sizes)
 
 
 def bernoulli(
@@ -80,8 +86,10 @@ def bernoulli(
     counts = class_term_counts(present, label, classes, "_d")
     n_docs = train.agg(F.array(*[F.count_if(F.col(label) == c) for c in classes]).alias("n")).scalar()
 
+    counts = counts.select("term", "counts", n_docs.alias("_docs"))
+
     def prob(i: int) -> Column:
-        return (F.get("counts", F.lit(i)) + F.lit(smoothing)) / (F.get(n_docs, F.lit(i)) + 2 * F.lit(smoothing))
+        return (F.get("counts", F.lit(i)) + F.lit(smoothing)) / (F.get("_docs", F.lit(i)) + 2 * F.lit(smoothing))
 
     absent = counts.agg(F.array(*[F.sum(F.log(1 - prob(i))) for i in range(len(classes))]).alias("a")).scalar()
     weights = counts.select(
@@ -90,8 +98,9 @@ def bernoulli(
     seen = test.select(doc, label, F.explode_outer(F.array_distinct(tokens)).alias("term")).join(weights, "term", "left")
     gains = [F.sum(F.coalesce(F.get("w", F.lit(i)), F.lit(0.0))).alias(f"g{i}") for i in range(len(classes))]
     sums = seen.groupBy(doc, label).agg(*gains)
-    bases = [F.col(f"g{i}") + F.get(absent, F.lit(i)) for i in range(len(classes))]
-    return _score_rows(sums, doc, label, classes, _priors(train, label, classes, smoothing), bases)
+    bases = [F.col(f"g{i}") + F.get("_absent", F.lit(i)) for i in range(len(classes))]
+    priors = _priors(train, label, classes, smoothing)
+    return _score_rows(sums, doc, label, classes, bases, _priors=priors, _absent=absent)
 
 
 def one_vs_rest(
@@ -135,12 +144,10 @@ def one_vs_rest(
     ).scalar()
 
     def base(i: int) -> Column:
-        own = F.get(sizes["n"], F.lit(i))
-        return F.col(f"g{i}") - F.col("known") * (
-            F.log(own + lam * sizes["v"]) - F.log(sizes["t"] - own + lam * sizes["v"])
-        )
+        own, everything, spread = F.get("_sizes.n", F.lit(i)), F.col("_sizes.t"), lam * F.col("_sizes.v")
+        return F.col(f"g{i}") - F.col("known") * (F.log(own + spread) - F.log(everything - own + spread))
 
-    return _score_rows(sums, doc, label, classes, priors, [base(i) for i in k])
+    return _score_rows(sums, doc, label, classes, [base(i) for i in k], _priors=priors, _sizes=sizes)
 
 
 def class_scores(scored: DataFrame, doc: str, label: str) -> DataFrame:

@@ -10,18 +10,20 @@ from corpuslab.operators.ordering import top_n
 
 def concordance(corpus: DataFrame, doc: str, word: str, width: int, tokens: str = "tokens") -> DataFrame:
     """Every occurrence of ``word`` with up to ``width`` tokens on each side, cut inside the row."""
-    hit = corpus.where(F.array_contains(tokens, word)).select(
-        doc, tokens, F.posexplode(tokens).alias("pos", "_term")
-    ).where(F.col("_term") == word)
-    left = F.slice(F.col(tokens), F.greatest(F.col("pos") - width, F.lit(0)) + 1, F.least(F.col("pos"), F.lit(width)))
-    right = F.slice(F.col(tokens), F.col("pos") + 2, F.lit(width))
-    return hit.select(
-        doc,
-        F.col("pos").cast("long").alias("pos"),
-        F.array_join(left, " ").alias("left"),
-        F.col("_term").alias("word"),
-        F.array_join(right, " ").alias("right"),
-    )
+    t = F.col(tokens)
+    hits = F.filter(F.transform(t, lambda x, i: F.when(x == word, i)), lambda i: i.isNotNull())
+
+    def around(i):
+        left = F.slice(t, F.greatest(i - width, F.lit(0)) + 1, F.least(i, F.lit(width)))
+        right = F.slice(t, i + 2, F.lit(width))
+        return F.struct(
+            i.cast("long").alias("pos"),
+            F.array_join(left, " ").alias("left"),
+            F.lit(word).alias("word"),
+            F.array_join(right, " ").alias("right"),
+        )
+
+    return corpus.select(doc, F.explode(F.transform(hits, around)).alias("_h")).select(doc, "_h.*")
 
 
 def contexts(corpus: DataFrame, tokens: str = "tokens") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.functions.arrays import elements
 from corpuslab.functions.text import hash_bucket
 from corpuslab.functions.vectors import sparse_vector
 from corpuslab.operators.ordering import top_per_group
@@ -113,7 +114,7 @@ def count_vectors(triplets: DataFrame, size: Column | int, doc: str, *keep: str,
 
 def class_term_counts(corpus: DataFrame, label: str, classes: Sequence, tokens: str = "tokens") -> DataFrame:
     """term, counts[class]: one row per term, all classes counted in one map-side aggregated pass."""
-    terms = corpus.select(label, F.explode(tokens).alias("term"))
+    terms = corpus.select(label, F.explode(elements(tokens)).alias("term"))
     sums = F.array(*[F.count_if(F.col(label) == c) for c in classes])
     return terms.groupBy("term").agg(sums.alias("counts"))
 

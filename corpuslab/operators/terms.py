@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslab.functions.arrays import elements
 from corpuslab.operators.ordering import top_n, top_per_group, with_row_index
 
 
@@ -41,12 +42,12 @@ def term_frequencies(corpus: DataFrame, *keep: str, tokens: str = "tokens", keep
 
 def occurrences(corpus: DataFrame, *keep: str, tokens: str = "tokens") -> DataFrame:
     """One row per token: ``keep``, pos, term."""
-    return corpus.select(*keep, F.posexplode(tokens).alias("pos", "term"))
+    return corpus.select(*keep, F.posexplode(elements(tokens)).alias("pos", "term"))
 
 
 def collection_frequencies(corpus: DataFrame, tokens: str = "tokens") -> DataFrame:
     """term, cf: occurrences over the whole corpus."""
-    return corpus.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
+    return corpus.select(F.explode(elements(tokens)).alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
 
 
 def document_frequencies(corpus: DataFrame, tokens: str = "tokens") -> DataFrame:

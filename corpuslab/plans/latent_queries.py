@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from corpuslab.functions.arrays import elements
 from corpuslab.operators import categories, features, learners, lsa, neighbors, ratings, terms, topics
 from corpuslab.plans.registry import query
 from corpuslab.plans.tables import TF, cohort, corpus, rating_rows, table, vectors
@@ -212,7 +213,7 @@ _CLASS_TOPICS = (
     " SELECT a.topic AS topic_a, b.topic AS topic_b, round(sum(a.w * b.w) / any_value(la.l * lb.l), 6) AS cosine FROM a JOIN b ON a.term = b.term JOIN la ON la.topic = a.topic JOIN lb ON lb.topic = b.topic GROUP BY 1, 2",
 )
 def topic_similarity(spark, folder):
-    rows = corpus(spark, folder, "lang").select((F.col("doc_id") % 3).alias("part"), F.col("lang").alias("topic"), F.explode("tokens").alias("term"))
+    rows = corpus(spark, folder, "lang").select((F.col("doc_id") % 3).alias("part"), F.col("lang").alias("topic"), F.explode(elements("tokens")).alias("term"))
     shares = rows.groupBy("part", "topic", "term").agg(F.count("*").cast("double").alias("weight"))
     a, b = shares.where("part = 0").drop("part"), shares.where("part = 1").drop("part")
     return topics.topic_similarity(a, b).withColumn("cosine", F.round("cosine", 6))
