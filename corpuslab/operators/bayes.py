@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.operators.features import class_term_counts, classes_of
+from corpuslab.operators.joins import join_terms
 from corpuslab.operators.terms import term_frequencies
 
 
@@ -23,13 +24,17 @@ def _score_rows(sums: DataFrame, doc: str, label: str, classes: list, bases: lis
     return rows.select(doc, label, scores.alias("scores"), F.array(*[F.lit(c) for c in classes]).alias("classes"))
 
 
+def _total(counts: str) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def _weighted_sums(test: DataFrame, weights: DataFrame, doc: str, label: str, k: int, tokens: str) -> DataFrame:
     """doc, label, g0..g(k-1), known: term counts times term weights, and the number of known tokens.
 
-    ``weights`` has one row per term, so a hot term only repeats on the side of
-    the documents, which the adaptive skew join splits.
+    ``weights`` has term, n (its frequency) and w.
     """
-    joined = term_frequencies(test, doc, label, tokens=tokens, keep_empty=True).join(weights, "term", "left")
+    counted = term_frequencies(test, doc, label, tokens=tokens, keep_empty=True)
+    joined = join_terms(counted, weights, doc, "n", "left")
     gains = [F.sum(F.coalesce(F.col("tf") * F.get("w", F.lit(i)), F.lit(0.0))).alias(f"g{i}") for i in range(k)]
     known = F.sum(F.when(F.col("w").isNotNull(), F.col("tf")).otherwise(0)).alias("known")
     return joined.groupBy(doc, label).agg(*gains, known)
@@ -64,7 +69,9 @@ def multinomial(
         ).alias("s")
     ).scalar()
     weights = [F.log(F.get("counts", F.lit(i)) + F.lit(smoothing)) for i in range(len(classes))]
-    sums = _weighted_sums(test, counts.select("term", F.array(*weights).alias("w")), doc, label, len(classes), tokens)
+    sums = _weighted_sums(
+        test, counts.select("term", _total("counts").alias("n"), F.array(*weights).alias("w")), doc, label, len(classes), tokens
+    )
     bases = [
         F.col(f"g{i}") - F.col("known") * F.log(F.get("_sizes.n", F.lit(i)) + F.lit(smoothing) * F.col("_sizes.v"))
         for i in range(len(classes))
@@ -92,12 +99,10 @@ def bernoulli(
         return (F.get("counts", F.lit(i)) + F.lit(smoothing)) / (F.get("_docs", F.lit(i)) + 2 * F.lit(smoothing))
 
     absent = counts.agg(F.array(*[F.sum(F.log(1 - prob(i))) for i in range(len(classes))]).alias("a")).scalar()
-    weights = counts.select(
-        "term", F.array(*[F.log(prob(i)) - F.log(1 - prob(i)) for i in range(len(classes))]).alias("w")
-    )
-    seen = test.select(doc, label, F.explode_outer(F.array_distinct(tokens)).alias("term")).join(weights, "term", "left")
-    gains = [F.sum(F.coalesce(F.get("w", F.lit(i)), F.lit(0.0))).alias(f"g{i}") for i in range(len(classes))]
-    sums = seen.groupBy(doc, label).agg(*gains)
+    odds = [F.log(prob(i)) - F.log(1 - prob(i)) for i in range(len(classes))]
+    weights = counts.select("term", _total("counts").alias("n"), F.array(*odds).alias("w"))
+    distinct = test.withColumn("_d", F.array_distinct(tokens))
+    sums = _weighted_sums(distinct, weights, doc, label, len(classes), "_d")
     bases = [F.col(f"g{i}") + F.get("_absent", F.lit(i)) for i in range(len(classes))]
     priors = _priors(train, label, classes, smoothing)
     return _score_rows(sums, doc, label, classes, bases, _priors=priors, _absent=absent)
@@ -114,7 +119,7 @@ def one_vs_rest(
     classes = classes_of(train, label)
     k = range(len(classes))
     counts = class_term_counts(train.where(F.col(label).isNotNull()), label, classes, tokens).withColumn(
-        "all", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)
+        "all", _total("counts")
     )
     sizes = counts.agg(
         F.struct(
@@ -129,7 +134,7 @@ def one_vs_rest(
         own, everything = F.get("counts", F.lit(i)), F.col("all")
         return F.log(own + lam) - F.log(everything - own + lam)
 
-    weights = counts.select("term", F.array(*[weight(i) for i in k]).alias("w"))
+    weights = counts.select("term", F.col("all").alias("n"), F.array(*[weight(i) for i in k]).alias("w"))
     sums = _weighted_sums(test, weights, doc, label, len(classes), tokens)
     priors = train.agg(
         F.array(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.functions.text import drop_numbers
+from corpuslab.operators.joins import join_terms
 
 
 def resolve(lexicon: DataFrame, pos: str = "N") -> DataFrame:
@@ -31,7 +32,10 @@ def lexicon_terms(frequencies: DataFrame, lexicon: DataFrame, doc: str, pos: str
     Works on counted terms, so each form of a document is looked up once. Forms
     without a noun analysis drop out.
     """
-    found = frequencies.join(resolve(lexicon, pos), F.col("term") == F.col("surface"))
+    # How many documents use a form is not part of a lexicon, so it is counted.
+    used = frequencies.groupBy("term").agg(F.count("*").alias("_used"))
+    words = resolve(lexicon, pos).withColumnRenamed("surface", "term").join(used, "term")
+    found = join_terms(frequencies, words, doc, "_used")
     words = found.select(doc, F.explode("words").alias("term"), "tf")
     return words.groupBy(doc, "term").agg(F.sum("tf").alias("tf"))
 
@@ -44,9 +48,9 @@ def compound_parts(lexicon: DataFrame) -> DataFrame:
 def lemmas(frequencies: DataFrame, lemma_table: DataFrame, doc: str, stop_words, min_length: int = 3) -> DataFrame:
     """doc, term, tf of lower-case lemmas: letters only, long enough, not a stop word."""
     lemma = F.lower(F.coalesce("lemma", "term"))
-    mapped = frequencies.join(lemma_table, F.col("term") == F.col("surface"), "left").select(
-        doc, lemma.alias("term"), "tf"
-    )
+    used = frequencies.groupBy("term").agg(F.count("*").alias("_used"))
+    table = lemma_table.withColumnRenamed("surface", "term").join(used, "term")
+    mapped = join_terms(frequencies, table, doc, "_used", "left").select(doc, lemma.alias("term"), "tf")
     keep = (
         (F.length("term") >= min_length)
         & F.col("term").rlike(r"^\p{L}+$")

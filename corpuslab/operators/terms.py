@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.arrays import elements
+from corpuslab.operators.joins import join_terms
 from corpuslab.operators.ordering import top_n, top_per_group, with_row_index
 
 
@@ -111,8 +112,10 @@ def term_index(terms: DataFrame, *order: Column, name: str = "term_id") -> DataF
 
 
 def count_triplets(corpus: DataFrame, index: DataFrame, doc: str, tokens: str = "tokens") -> DataFrame:
-    """doc, term_id, tf."""
-    return term_frequencies(corpus, doc, tokens=tokens).join(index, "term").select(doc, "term_id", "tf")
+    """doc, term_id, tf. An index that kept the terms' df is joined with hot terms scattered."""
+    counted = term_frequencies(corpus, doc, tokens=tokens)
+    joined = join_terms(counted, index, doc, "df") if "df" in index.columns else counted.join(index, "term")
+    return joined.select(doc, "term_id", "tf")
 
 
 def idf(frequencies: DataFrame, n_docs: Column) -> DataFrame:
@@ -149,19 +152,16 @@ def tfidf_unit(
     """doc, term, weight: tf * (ln((1 + N) / (1 + df)) + 1), each document scaled to length 1.
 
     ``sublinear`` replaces tf by 1 + ln(tf); terms in more than ``max_df`` of the
-    documents are left out. The term join is a plain equi-join: a small term
-    table is broadcast by its measured size, a hot term is split by the
-    adaptive skew join.
+    documents are left out.
     """
     n_docs = number_of(corpus)
     terms = document_frequencies(corpus, tokens).where(F.col("df") <= F.lit(max_df) * n_docs)
     if stop_words:
         terms = terms.where(~F.col("term").isin(list(stop_words)))
-    terms = terms.select("term", (F.log((n_docs + 1) / (F.col("df") + 1).cast("double")) + 1).alias("idf"))
+    terms = terms.select("term", "df", (F.log((n_docs + 1) / (F.col("df") + 1).cast("double")) + 1).alias("idf"))
     tf = (F.log(F.col("tf").cast("double")) + 1) if sublinear else F.col("tf").cast("double")
-    weighted = term_frequencies(corpus, doc, tokens=tokens).join(terms, "term").select(
-        doc, "term", (tf * F.col("idf")).alias("_w")
-    )
+    counted = term_frequencies(corpus, doc, tokens=tokens)
+    weighted = join_terms(counted, terms, doc, "df").select(doc, "term", (tf * F.col("idf")).alias("_w"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
     return weighted.select(doc, "term", (F.col("_w") / length).alias("weight"))
 

@@ -22,7 +22,7 @@ MAX_MODEL_CELLS = 200_000_000
 
 @dataclass
 class Topics:
-    """model: the fitted estimator; terms: term, term_id; rows: doc, features."""
+    """model: the fitted estimator; terms: term, df, term_id; rows: doc, features."""
 
     model: object
     doc: str
@@ -46,7 +46,7 @@ def fit(
     samples mini-batches and suits large collections.
     """
     ensure_checkpoints(corpus.sparkSession)
-    terms = materialize(term_index(document_frequencies(corpus, tokens).select("term")), "terms")
+    terms = materialize(term_index(document_frequencies(corpus, tokens)), "terms")
     size = terms.count()
     if size * k > MAX_MODEL_CELLS:
         raise ValueError(f"{size} terms x {k} topics exceed the model bound; drop rare terms first")

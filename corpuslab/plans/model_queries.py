@@ -135,7 +135,7 @@ def ml_naive_bayes(spark, folder):
     """The library estimator on count vectors gives the same scores as the relational one."""
     rows = features.with_label(corpus(spark, folder, "lang"), "lang")
     train, test = features.split_by_hash(rows, "doc_id", 70)
-    index = terms.term_index(terms.document_frequencies(train).select("term"))
+    index = terms.term_index(terms.document_frequencies(train))
     size = index.count()
 
     def as_vectors(part):

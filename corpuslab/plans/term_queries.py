@@ -96,7 +96,7 @@ def vocab_index(spark, folder):
 @query("count_triplets", f"WITH {DF}, {_INDEX} SELECT doc_id, term_id, tf FROM tf JOIN idx USING (term)")
 def count_triplets(spark, folder):
     rows = corpus(spark, folder)
-    index = terms.term_index(terms.document_frequencies(rows).select("term"))
+    index = terms.term_index(terms.document_frequencies(rows))
     return terms.count_triplets(rows, index, "doc_id")
 
 
