@@ -15,14 +15,20 @@ from corpuslab.functions.words import COUNTERS
 
 # Fixed value: characters a word may consist of after upper-casing.
 WORD_CHARS = "가-힣ㄱ-ㅎㅏ-ㅣA-Z0-9"
-NUMBER_TOKEN = f"^[0-9]+({'|'.join(dict.fromkeys(COUNTERS))})?$"
-COUNTER_TOKEN = f"^[0-9]+({'|'.join(dict.fromkeys(COUNTERS))})$"
+_COUNTER = "|".join(dict.fromkeys(COUNTERS))
+NUMBER_TOKEN = f"^[0-9]+({_COUNTER})?$"
+COUNTER_TOKEN = f"^[0-9]+({_COUNTER})$"
 
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def strip(c: Column | str) -> Column:
+    """Drop spaces, tabs, line breaks and control characters at both ends."""
+    return F.regexp_replace(_col(c), "^[\\x00-\\x20]+|[\\x00-\\x20]+$", "")
+
+
 def normalize(c: Column | str, upper: bool = True) -> Column:
     """Upper-case and turn every character that is no word character into a space.
 
@@ -54,8 +60,14 @@ def drop_numbers(tokens: Column | str) -> Column:
 
 
 def content_tokens(c: Column | str) -> Column:
-    """Tokenise and drop numbers: the default token list of a document."""
-    return drop_numbers(tokenize(c))
+    """Tokenise and drop numbers: the default token list of a document.
+
+    Equal to ``drop_numbers(tokenize(c))``. The look-ahead refuses number tokens
+    while matching, which keeps the expression inside generated code.
+    """
+    not_number = f"(?![0-9]+(?:{_COUNTER})?(?![{WORD_CHARS}]))"
+    pattern = f"{not_number}(?<![{WORD_CHARS}])[{WORD_CHARS}]{{2,}}"
+    return F.regexp_extract_all(F.upper(_col(c)), F.lit(pattern), F.lit(0))
 
 
 def translate_tokens(tokens: Column | str, mapping: Mapping[str, str]) -> Column:
@@ -114,7 +126,7 @@ def clean_areas(c: Column | str, stop_areas: Sequence[str] = ()) -> Column:
 def program_fields(*columns: Column | str) -> Column:
     """One comma-joined list out of comma lists, without leading numeric codes."""
     parts = F.flatten(F.array(*[F.split(F.coalesce(_col(c), F.lit("")), ",") for c in columns]))
-    named = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, "^[0-9]\\S*", "")))
+    named = F.transform(parts, lambda p: strip(F.regexp_replace(p, "^[0-9]\\S*", "")))
     return F.array_join(F.filter(named, lambda p: F.length(p) > 0), ",")
 
 
@@ -158,10 +170,12 @@ def key_values(c: Column | str) -> Column:
         lines = F.split(chunk, "\n")
         head = F.get(lines, F.lit(0))
         has_key = head.contains(":")
-        key = F.when(has_key, F.trim(F.substring_index(head, ":", 1))).otherwise(F.lit(""))
-        first = F.when(has_key, F.trim(F.regexp_replace(head, "^[^:]*:", ""))).otherwise(F.trim(head))
-        rest = F.transform(F.slice(lines, F.lit(2), F.size(lines)), lambda line: F.trim(line))
-        value = F.array_join(F.filter(F.concat(F.array(first), rest), lambda v: v != ""), " ")
+        key = F.when(has_key, strip(F.substring_index(head, ":", 1))).otherwise(F.lit(""))
+        first = F.when(has_key, F.regexp_replace(head, "^[^:]*:", "")).otherwise(head)
+        rest = F.slice(lines, F.lit(2), F.size(lines))
+        # Nothing right after the colon adds no part; blank lines do.
+        parts = F.concat(F.when(has_key & (first == ""), F.array().cast("array<string>")).otherwise(F.array(first)), rest)
+        value = F.array_join(F.transform(parts, lambda line: strip(line)), " ")
         return F.struct(i.alias("pos"), key.alias("key"), value.alias("value"))
 
     def keep(entries: Column) -> Column:

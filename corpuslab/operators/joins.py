@@ -18,6 +18,8 @@ def join_terms(rows: DataFrame, table: DataFrame, spread_by: str, weight: str, h
     rest is a plain equi-join, which Spark turns into a broadcast when the table
     turns out small.
     """
+    # Both uses of the table get the filter the join would infer, so that its exchange is shared.
+    table = table.where(F.col("term").isNotNull())
     value = F.struct(*[c for c in table.columns if c != "term"])
     hot = table.orderBy(F.desc(weight), F.asc("term")).limit(HOT_TERMS).select("term", value.alias("_hot"))
     rest = table.select(F.col("term").alias("_key"), value.alias("_rest"))

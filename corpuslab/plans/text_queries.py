@@ -170,7 +170,7 @@ def program_fields(spark, folder):
     " generate_subscripts(string_split(role || ': ' || text, chr(10)), 1) AS ln FROM conversations),"
     " marked AS (SELECT *, sum(CASE WHEN contains(line, ':') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY ln) AS e FROM raw),"
     " entries AS (SELECT conv_id, turn, e, trim(string_split(arg_min(line, ln), ':')[1]) AS key,"
-    " array_to_string(list_filter(list(trim(CASE WHEN contains(line, ':') THEN regexp_replace(line, '^[^:]*:', '') ELSE line END) ORDER BY ln), lambda v: v <> ''), ' ') AS value,"
+    " array_to_string(list(trim(CASE WHEN contains(line, ':') THEN regexp_replace(line, '^[^:]*:', '') ELSE line END) ORDER BY ln) FILTER (WHERE NOT (contains(line, ':') AND regexp_replace(line, '^[^:]*:', '') = '')), ' ') AS value,"
     " max(e) OVER (PARTITION BY conv_id, turn) AS last_e FROM marked GROUP BY conv_id, turn, e)"
     " SELECT conv_id, turn, CAST(e - 1 AS INT) AS pos, key, value FROM entries WHERE key <> '' OR e = last_e",
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.functions.text import strip
 from corpuslab.schemas import META_WIDTH, SHEET_WIDTH
 
 # Fixed value: what a cell of unknown type is replaced by.
@@ -14,7 +15,7 @@ UNKNOWN_CELL = "*******"
 def clean_cell(c: Column | str, known: Column | None = None) -> Column:
     """Trim, and turn commas, line breaks and quotes into spaces; blank for a missing cell."""
     c = F.col(c) if isinstance(c, str) else c
-    cell = F.coalesce(F.regexp_replace(F.trim(c), '[,\n"]', " "), F.lit(""))
+    cell = F.coalesce(F.regexp_replace(strip(c), '[,\n"]', " "), F.lit(""))
     return cell if known is None else F.when(known, cell).otherwise(F.lit(UNKNOWN_CELL))
 
 
