@@ -161,10 +161,11 @@ def key_values(c: Column | str) -> Column:
 
     A line with a colon starts an entry; later lines without one continue its
     value, joined by spaces. The split point is found by a look-ahead, so one
-    text is parsed inside its row. Entries without a key are dropped unless
+    text is parsed inside its row. Line breaks at the end of the text do not
+    count. Entries without a key are dropped unless
     they are the last one.
     """
-    chunks = F.split(_col(c), "\n(?=[^\n]*:)")
+    chunks = F.split(F.regexp_replace(_col(c), "\n+$", ""), "\n(?=[^\n]*:)")
 
     def entry(chunk: Column, i: Column) -> Column:
         lines = F.split(chunk, "\n")

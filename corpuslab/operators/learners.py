@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SEED = 11
+# Binary models of one-vs-rest fitted at the same time.
+PARALLEL_FITS = 4
 
 
 def naive_bayes(smoothing: float = 1.0, kind: str = "multinomial") -> NaiveBayes:
@@ -30,7 +32,7 @@ def naive_bayes(smoothing: float = 1.0, kind: str = "multinomial") -> NaiveBayes
 
 
 def one_vs_rest_bayes(smoothing: float = 0.05) -> OneVsRest:
-    return OneVsRest(classifier=NaiveBayes(smoothing=smoothing))
+    return OneVsRest(classifier=NaiveBayes(smoothing=smoothing), parallelism=PARALLEL_FITS)
 
 
 def decision_tree() -> DecisionTreeClassifier:
@@ -49,7 +51,7 @@ def boosted_trees() -> GBTClassifier:
 
 def boosted_one_vs_rest() -> OneVsRest:
     """Boosting is binary; one model per class makes it multiclass."""
-    return OneVsRest(classifier=GBTClassifier(maxDepth=3, maxIter=20, stepSize=0.2, seed=SEED))
+    return OneVsRest(classifier=GBTClassifier(maxDepth=3, maxIter=20, stepSize=0.2, seed=SEED), parallelism=PARALLEL_FITS)
 
 
 def logistic(elastic_net: float = 0.0, reg: float = 0.0) -> LogisticRegression:
@@ -57,7 +59,7 @@ def logistic(elastic_net: float = 0.0, reg: float = 0.0) -> LogisticRegression:
 
 
 def linear_svc() -> OneVsRest:
-    return OneVsRest(classifier=LinearSVC(tol=1e-3))
+    return OneVsRest(classifier=LinearSVC(tol=1e-3), parallelism=PARALLEL_FITS)
 
 
 def linear_regression() -> LinearRegression:
@@ -84,7 +86,9 @@ class SparseThenSVC:
         chooser = logistic(elastic_net=1.0, reg=self.reg).fit(train)
         used = abs(chooser.coefficientMatrix.toArray()).sum(axis=0).nonzero()[0]
         slicer = VectorSlicer(inputCol="features", outputCol="_kept", indices=[int(i) for i in used] or [0])
-        svc = OneVsRest(classifier=LinearSVC(featuresCol="_kept"), featuresCol="_kept")
+        svc = OneVsRest(
+            classifier=LinearSVC(featuresCol="_kept", tol=1e-3), featuresCol="_kept", parallelism=PARALLEL_FITS
+        )
         return Pipeline(stages=[slicer, svc]).fit(train)
 
 

@@ -166,8 +166,8 @@ def program_fields(spark, folder):
 
 @query(
     "kv_records",
-    "WITH raw AS (SELECT conv_id, turn, unnest(string_split(role || ': ' || text, chr(10))) AS line,"
-    " generate_subscripts(string_split(role || ': ' || text, chr(10)), 1) AS ln FROM conversations),"
+    "WITH raw AS (SELECT conv_id, turn, unnest(string_split(regexp_replace(role || ': ' || text, '\n+$', ''), chr(10))) AS line,"
+    " generate_subscripts(string_split(regexp_replace(role || ': ' || text, '\n+$', ''), chr(10)), 1) AS ln FROM conversations),"
     " marked AS (SELECT *, sum(CASE WHEN contains(line, ':') THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY ln) AS e FROM raw),"
     " entries AS (SELECT conv_id, turn, e, trim(string_split(arg_min(line, ln), ':')[1]) AS key,"
     " array_to_string(list(trim(CASE WHEN contains(line, ':') THEN regexp_replace(line, '^[^:]*:', '') ELSE line END) ORDER BY ln) FILTER (WHERE NOT (contains(line, ':') AND regexp_replace(line, '^[^:]*:', '') = '')), ' ') AS value,"
