@@ -26,16 +26,15 @@ def resolve(lexicon: DataFrame, pos: str = "N") -> DataFrame:
     return nouns.select("surface", drop_numbers(long_enough).alias("words"))
 
 
-def lexicon_terms(frequencies: DataFrame, lexicon: DataFrame, doc: str, pos: str = "N") -> DataFrame:
+def lexicon_terms(frequencies: DataFrame, lexicon: DataFrame, used: DataFrame, doc: str, pos: str = "N") -> DataFrame:
     """doc, term, tf after replacing each surface form by its words.
 
     Works on counted terms, so each form of a document is looked up once. Forms
-    without a noun analysis drop out.
+    without a noun analysis drop out. ``used`` has term and df: it tells which
+    forms are hot.
     """
-    # How many documents use a form is not part of a lexicon, so it is counted.
-    used = frequencies.groupBy("term").agg(F.count("*").alias("_used"))
     words = resolve(lexicon, pos).withColumnRenamed("surface", "term").join(used, "term")
-    found = join_terms(frequencies, words, doc, "_used")
+    found = join_terms(frequencies, words, doc, "df")
     words = found.select(doc, F.explode("words").alias("term"), "tf")
     return words.groupBy(doc, "term").agg(F.sum("tf").alias("tf"))
 
@@ -45,12 +44,16 @@ def compound_parts(lexicon: DataFrame) -> DataFrame:
     return lexicon.where(F.size("parts") > 1).select("surface", F.explode("parts").alias("part")).distinct()
 
 
-def lemmas(frequencies: DataFrame, lemma_table: DataFrame, doc: str, stop_words, min_length: int = 3) -> DataFrame:
-    """doc, term, tf of lower-case lemmas: letters only, long enough, not a stop word."""
+def lemmas(
+    frequencies: DataFrame, lemma_table: DataFrame, used: DataFrame, doc: str, stop_words, min_length: int = 3
+) -> DataFrame:
+    """doc, term, tf of lower-case lemmas: letters only, long enough, not a stop word.
+
+    ``lemma_table`` has one lemma per surface form, ``used`` term and df.
+    """
     lemma = F.lower(F.coalesce("lemma", "term"))
-    used = frequencies.groupBy("term").agg(F.count("*").alias("_used"))
     table = lemma_table.withColumnRenamed("surface", "term").join(used, "term")
-    mapped = join_terms(frequencies, table, doc, "_used", "left").select(doc, lemma.alias("term"), "tf")
+    mapped = join_terms(frequencies, table, doc, "df", "left").select(doc, lemma.alias("term"), "tf")
     keep = (
         (F.length("term") >= min_length)
         & F.col("term").rlike(r"^\p{L}+$")

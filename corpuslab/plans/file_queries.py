@@ -239,6 +239,16 @@ def vocabulary_lines(spark, folder):
     )
 
 
+@query("vocabulary_by_line", f"{_TOP} SELECT term, term_id FROM idx")
+def vocabulary_by_line(spark, folder):
+    """A vocabulary file without numbers: the line of a term is its id. The kept terms are a fixed number."""
+    rows = corpus(spark, folder)
+    kept = terms.top_terms(terms.document_frequencies(rows), 1000).select("term")
+    path = new_path(spark, "vocabulary")
+    kept.orderBy("term").coalesce(1).write.text(path)
+    return readers.numbered_lines(spark, path).select(F.col("value").alias("term"), F.col("line").alias("term_id"))
+
+
 @query("ratings_roundtrip", f'WITH {RATINGS} SELECT usr AS "user", item, round(rating - 2.5, 4) AS rating FROM ratings')
 def ratings_roundtrip(spark, folder):
     path = new_path(spark, "ratings")

@@ -217,7 +217,8 @@ def derived_lexicon(rows):
 )
 def lexicon_nouns(spark, folder):
     rows = corpus(spark, folder)
-    return lexicon.lexicon_terms(terms.term_frequencies(rows, "doc_id"), derived_lexicon(rows), "doc_id")
+    used = terms.document_frequencies(rows)
+    return lexicon.lexicon_terms(terms.term_frequencies(rows, "doc_id"), derived_lexicon(rows), used, "doc_id")
 
 
 @query(
@@ -236,10 +237,11 @@ def compound_parts(spark, folder):
 )
 def lexicon_lemma(spark, folder):
     rows = corpus(spark, folder)
-    distinct = terms.document_frequencies(rows).where(F.col("term").endswith("ING"))
-    table_ = distinct.select(F.col("term").alias("surface"), F.expr("substr(term, 1, length(term) - 3)").alias("lemma"))
+    used = terms.document_frequencies(rows)
+    found = used.where(F.col("term").endswith("ING"))
+    table_ = found.select(F.col("term").alias("surface"), F.expr("substr(term, 1, length(term) - 3)").alias("lemma"))
     counted = terms.term_frequencies(rows, "doc_id")
-    return lexicon.lemmas(counted, table_, "doc_id", AWARD_STOP_WORDS + ["the", "and"])
+    return lexicon.lemmas(counted, table_, used, "doc_id", AWARD_STOP_WORDS + ["the", "and"])
 
 
 @query(

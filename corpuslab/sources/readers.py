@@ -12,6 +12,7 @@ from pyspark.sql.utils import AnalysisException
 
 from corpuslab import schemas
 from corpuslab.functions import text
+from corpuslab.operators.ordering import with_row_index
 
 FILE_STEM = r"([^/]+)\.[^./]+$"
 
@@ -28,6 +29,23 @@ def whole_files(spark: SparkSession, paths: str | Sequence[str], id_pattern: str
     return files.select(F.regexp_extract(path, id_pattern, 1).alias("doc_id"), F.col("value").alias("text"))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value, line: the lines of a file numbered from 0 in file order, across its splits."""
+    at = ["_file", "_start", "_row"]
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    return with_row_index(lines, *[F.asc(c) for c in at], name="line").select("value", "line")
+
+
+def comma_list(lines: DataFrame, column: str = "value") -> DataFrame:
+    """pos, value of the names in a comma-joined line."""
+    return lines.select(F.posexplode(F.split(F.col(column), ",")).alias("pos", "value"))
+
+
 def positional_csv(spark: SparkSession, paths: str | Sequence[str], width: int) -> DataFrame:
     """Comma-split lines with no quoting; missing cells become empty strings."""
     cells = F.split("value", ",")

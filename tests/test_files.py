@@ -93,3 +93,21 @@ def test_shared_folder_refuses_a_private_folder_on_a_cluster():
 
     with pytest.raises(ValueError):
         session.shared_folder(Session())
+
+
+def test_lines_are_numbered_in_file_order_across_splits(spark, tmp_path):
+    (tmp_path / "vocab.txt").write_text("\n".join(f"term {i}" for i in range(20000)), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1000")
+    try:
+        found = readers.numbered_lines(spark, f"{tmp_path}/vocab.txt")
+        assert found.where(F.col("value") != F.concat(F.lit("term "), F.col("line").cast("string"))).count() == 0
+        assert found.count() == 20000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_comma_list(spark):
+    lines = spark.createDataFrame([("a,b,c",)], "value string")
+    assert [tuple(r) for r in readers.comma_list(lines).collect()] == [(0, "a"), (1, "b"), (2, "c")]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from corpuslab.operators import bayes, categories, explore, features, joins, lexicon, lsa, neighbors, ordering, terms, topics
+from corpuslab.operators import bayes, categories, explore, features, joins, learners, lexicon, lsa, neighbors, ordering, terms, topics
 
 
 def token_rows(spark, *documents):
@@ -104,7 +104,9 @@ def test_lexicon(spark):
         "surface string, rank int, pos string, stem string, parts array<string>",
     )
     rows = token_rows(spark, "나무집 나무집 배 감기 뛰다 없음", "나무집")
-    found = {(r.doc_id, r.term, r.tf) for r in lexicon.lexicon_terms(terms.term_frequencies(rows, "doc_id"), lex, "doc_id").collect()}
+    found = {(r.doc_id, r.term, r.tf) for r in lexicon.lexicon_terms(
+        terms.term_frequencies(rows, "doc_id"), lex, terms.document_frequencies(rows), "doc_id"
+    ).collect()}
     assert found == {(0, "나무", 2), (0, "집안", 2), (0, "감기", 1), (1, "나무", 1), (1, "집안", 1)}
 
 
@@ -199,3 +201,27 @@ def test_topic_similarity(spark):
     a = spark.createDataFrame([(0, "x", 1.0), (0, "y", 1.0), (1, "z", 2.0)], "topic int, term string, weight double")
     found = {(r.topic_a, r.topic_b): r.cosine for r in topics.topic_similarity(a, a).collect()}
     assert found == pytest.approx({(0, 0): 1.0, (1, 1): 1.0})
+
+
+def test_learners_beat_the_majority_class(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(y), [float(v) for v in rng.normal(loc=y, size=4)]) for y in rng.integers(0, 3, 240)]
+    data = spark.createDataFrame(rows, "y int, v array<double>").select(
+        F.col("y").cast("double").alias("label"), array_to_vector("v").alias("features")
+    ).cache()
+    binary = data.withColumn("label", (F.col("label") > 0).cast("double"))
+
+    def accuracy(estimator, table):
+        return estimator.fit(table).transform(table).agg(F.avg((F.col("label") == F.col("prediction")).cast("double"))).first()[0]
+
+    def majority(table):
+        return table.groupBy("label").count().agg(F.max("count")).first()[0] / table.count()
+
+    for make in (learners.decision_tree, learners.random_forest, learners.boosted_trees, learners.logistic):
+        assert accuracy(make(), binary) > majority(binary)
+    for make in (learners.random_forest, learners.boosted_one_vs_rest, learners.linear_svc, learners.SparseThenSVC):
+        assert accuracy(make(), data) > majority(data)
+    size, share = learners.density(learners.logistic().fit(data))
+    assert size == 12 and share == 1.0
+    table = learners.compare({"tree": learners.decision_tree()}, data, data).first()
+    assert table.name == "tree" and table.accuracy > majority(data) and table.train_seconds > 0
