@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from corpuslab.functions.arrays import elements
-from corpuslab.operators import categories, features, learners, lsa, neighbors, ratings, terms, topics
+from corpuslab.operators import categories, features, learners, lsa, ratings, terms, topics
 from corpuslab.plans.registry import query
 from corpuslab.plans.tables import TF, cohort, corpus, rating_rows, table, vectors
 from corpuslab.session import ensure_checkpoints
@@ -347,6 +347,3 @@ def als_predictions(spark, folder):
     rows = rating_rows(spark, folder)
     predicted = learners.recommender().fit(rows).transform(rows).select("user", "item", "prediction")
     return ratings.predicted_and_actual(predicted, rows)
-
-
-__all__ = ["neighbors"]

@@ -6,6 +6,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from corpuslab.operators import bayes, curves, features, learners, neighbors, quality, ratings, terms
+from corpuslab.operators.ordering import top_per_group
 from corpuslab.plans.registry import query
 from corpuslab.plans.tables import BUCKET, DOCS, RATINGS, VEC_BUCKET, corpus, labelled_corpus, rating_rows, table, vectors
 
@@ -67,7 +68,6 @@ def nb_binary(spark, folder):
     return scored.select("doc_id", F.col("quality").alias("label"), "class", F.round("score", 4).alias("score"))
 
 
-_SOFTMAX = " exp(score - max(score) OVER w) / sum(exp(score - m)) OVER w"
 _PROBS = ", top AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM scores), probs AS (SELECT doc_id, label, class, exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY doc_id) AS prob FROM top)"
 
 
@@ -235,7 +235,7 @@ def class_keywords(spark, folder):
                    F.round(F.log((F.get("counts", F.lit(i)) + F.lit(1.0)) / F.get(sizes, F.lit(i))), 6).alias("weight")) for i in k]
     )
     flat = counts.select("term", F.explode(weights).alias("w")).where(F.col("w.n") > 0).select("w.class", "term", "w.weight")
-    return features.top_per_group(flat, "class", 10, F.desc("weight"), F.asc("term"))
+    return top_per_group(flat, "class", 10, F.desc("weight"), F.asc("term"))
 
 
 @query(

@@ -9,7 +9,7 @@ from corpuslab.functions.words import AWARD_STOP_WORDS, STOP_WORDS, TRANSLATIONS
 from corpuslab.operators import categories, lexicon, terms
 from corpuslab.plans import prepare
 from corpuslab.plans.registry import query
-from corpuslab.plans.tables import DF, DOCS, NORMAL, TF, TOK, UPPER, WORDS, cohort, corpus, documents, table
+from corpuslab.plans.tables import DF, DOCS, NORMAL, TF, TOK, cohort, corpus, documents, table
 
 
 def sql_list(words) -> str:
@@ -252,6 +252,3 @@ def lexicon_lemma(spark, folder):
 def regex_words(spark, folder):
     rows = documents(spark, folder).select("doc_id", text.words_in("text").alias("w"))
     return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.array_join(F.slice("w", 1, 8), " ").alias("head"))
-
-
-__all__ = ["UPPER", "WORDS"]
