@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import exact_dedup, mixing
+from corpuslab.llm import ann, exact_dedup, mixing, packing, relative_lz, suffix_repeats, token_file, toxicity, warc
 from corpuslab.llm.common import Scratch, table, word_count
 from corpuslab.llm.registry import query
 
@@ -68,3 +68,56 @@ def op9_pareto_mix(spark: SparkSession, folder: str) -> DataFrame:
     sizes = Scratch(spark, "op9").settle(docs, "sizes")
     mixed = mixing.mix(sizes, mixing.source_targets(sizes))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_token_file")
+def op1_token_file(spark: SparkSession, folder: str) -> DataFrame:
+    return token_file.encode_table(table(spark, folder, "documents"), tokenizer_path(), end_id=2)
+
+
+@query("op4_pack")
+def op4_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack_documents(table(spark, folder, "documents"), tokenizer_path(), end_id=1)
+
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, strlen(body) AS payload_bytes, sha256(body) AS payload_digest, min(page_id) OVER (PARTITION BY body) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM d
+"""
+
+
+@query("op2_warc", WARC_SQL)
+def op2_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive(table(spark, folder, "pages")).drop("url")
+
+
+@query("op5_cross_polytope")
+def op5_cross_polytope(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op6_string_kernel")
+def op6_string_kernel(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score_all(spark, table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_suffix_repeats")
+def op3_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_repeats.remove_repeats(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op8_relative_lz")
+def op8_relative_lz(spark: SparkSession, folder: str) -> DataFrame:
+    found = relative_lz.remove_spans(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
