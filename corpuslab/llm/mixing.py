@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,8 +46,8 @@ def source_targets(sizes: DataFrame, share: float = 1.0, max_copies: int = MAX_C
     return tested.crossJoin(F.broadcast(left)).select("source", "source_size", "n_docs", target.alias("target"))
 
 
-def mix(sizes: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for (doc_id, source, size).
+def mix(sizes: DataFrame, targets: DataFrame, seed: str = "mix", carry: Sequence[str] = ()) -> DataFrame:
+    """doc_id, source, size, carry, source_size, target, copies for (doc_id, source, size).
 
     A document is expected target / source_size times. The whole part is certain; the fraction f is
     the inclusion probability of one more copy. Those are drawn by Pareto order sampling: documents
@@ -59,7 +61,7 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
     scratch = Scratch(sizes.sparkSession, "mix")
     keyed = lambda df: df.withColumn("_key", F.coalesce("source", F.lit(""))).withColumn("_null", F.col("source").isNull())
     goals = scratch.settle(keyed(targets).drop("source"), "goals")
-    rows = join_groups(keyed(sizes.select("doc_id", "source", "size")), goals, ["_key", "_null"], "n_docs")
+    rows = join_groups(keyed(sizes.select("doc_id", "source", "size", *carry)), goals, ["_key", "_null"], "n_docs")
     ratio = F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
     u = uniform("doc_id", seed=seed)
     rows = rows.withColumn("_ratio", ratio).withColumn("_whole", F.floor("_ratio"))
@@ -85,4 +87,4 @@ def mix(sizes: DataFrame, targets: DataFrame, seed: str = "mix") -> DataFrame:
         gaps = scratch.settle(gaps, f"gaps{k + 1}")
     found = rows.join(chosen.withColumn("_extra", F.lit(1)), "_row", "left")
     copies = (F.col("_whole") + F.coalesce("_extra", F.lit(0))).cast("long")
-    return found.select("doc_id", "source", "size", F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"))
+    return found.select("doc_id", "source", "size", *carry, F.coalesce("source_size", F.lit(0).cast("long")).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), copies.alias("copies"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import ann, exact_dedup, mixing, packing, relative_lz, suffix_repeats, token_file, toxicity, warc
+from corpuslab.llm import ann, exact_dedup, mixing, ngram_join, packing, relative_lz, suffix_repeats, token_file, toxicity, warc
 from corpuslab.llm.common import Scratch, table, word_count
 from corpuslab.llm.registry import query
 
@@ -121,3 +121,8 @@ def op3_suffix_repeats(spark: SparkSession, folder: str) -> DataFrame:
 def op8_relative_lz(spark: SparkSession, folder: str) -> DataFrame:
     found = relative_lz.remove_spans(table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_ngram_join")
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, folder, "documents"))

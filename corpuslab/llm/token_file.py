@@ -174,7 +174,7 @@ def write_tokens(
     """
     spark = docs.sparkSession
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    ordered = ordered.repartitionByRange(F.asc_nulls_first("k"), "t").sortWithinPartitions(F.asc_nulls_first("k"), "t")
+    ordered = ordered.repartitionByRange(F.asc_nulls_first("k")).sortWithinPartitions(F.asc_nulls_first("k"), "t")
     end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

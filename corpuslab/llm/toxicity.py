@@ -167,6 +167,17 @@ def calibrate(model: Model, worst: np.ndarray, toxic: np.ndarray) -> None:
 NO_WORD = -1.0
 
 
+def _worst(texts: list[str | None], model: Model, known: dict[bytes, float]) -> list[float]:
+    """Largest word score of each text; ``known`` keeps word scores between calls, a bounded number."""
+    if len(known) > CACHED_WORDS:
+        known.clear()
+    each = [split_words(t) for t in texts]
+    new = list(set().union(*each).difference(known))
+    known.update(zip(new, model.score_words(new).tolist()))
+    value = known.__getitem__
+    return [max(map(value, ws), default=NO_WORD) for ws in each]
+
+
 def worst_words(docs: DataFrame, model: Model, with_word: bool = False) -> DataFrame:
     """doc_id, worst (largest word score; that of no word is -1), and the word itself, for whole texts."""
     kinds = "doc_id long, worst double" + ", word binary" * with_word
@@ -176,17 +187,12 @@ def worst_words(docs: DataFrame, model: Model, with_word: bool = False) -> DataF
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in in_chunks(texts):
-                each = [split_words(t) for t in texts[lo:hi]]
-                new = list(set().union(*each).difference(known))
-                known.update(zip(new, model.score_words(new).tolist()))
-                value = known.__getitem__
-                worst = [max(map(value, ws), default=NO_WORD) for ws in each]
+                worst = _worst(texts[lo:hi], model, known)
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array(worst, pa.float64())]
                 if with_word:
-                    columns.append(pa.array([max(ws, key=lambda w: (value(w), w), default=None) for ws in each], pa.binary()))
+                    value = known.__getitem__
+                    columns.append(pa.array([max(split_words(t), key=lambda w: (value(w), w), default=None) for t in texts[lo:hi]], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "worst", "word"][: len(columns)])
-                if len(known) > CACHED_WORDS:
-                    known.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, kinds)
 
@@ -269,6 +275,25 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
     return worst_words(docs, model).select("doc_id", (1 / (1 + F.exp(-z))).alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def clean_rows(docs: DataFrame, model: Model | None) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns; all rows without a model."""
+    if model is None:
+        return docs
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, float] = {}
+        for batch in batches:
+            texts, clean = batch.column(at).to_pylist(), []
+            for lo, hi in in_chunks(texts):
+                worst = _worst(texts[lo:hi], model, known)
+                clean.append(model.probability(np.array(worst)) < 0.5)
+            if clean:
+                yield batch.filter(pa.array(np.concatenate(clean)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score_all(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = score(docs, fit(docs, labels))
     return scored.select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
