@@ -22,8 +22,8 @@ from corpuslab.llm.files import Sink
 from corpuslab.operators.ordering import running_totals
 
 MIN_REVISIT = 100
-SHARD_BYTES = 64 << 20
-MAX_SHARDS = 1024
+SHARD_BYTES = 32 << 20
+MAX_SHARDS = 1 << 16
 FILE_BYTES = 32 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -146,14 +146,26 @@ def write_warc(pages: DataFrame, folder: str, date: str = "2020-01-01T00:00:00Z"
     return spark.read.parquet(f"{folder}/manifest")
 
 
+def _members(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
+    """The gzip members of a file one by one, fed in small slices; a plain file is one member."""
+    at, view = 0, memoryview(content)
+    if content[:2] != b"\x1f\x8b":
+        yield content
+        return
+    while at < len(content):
+        unpack, parts = zlib.decompressobj(31), []
+        while not unpack.eof:
+            piece = view[at : at + step]
+            if not piece:
+                raise ValueError("file ends within a record")
+            parts.append(unpack.decompress(piece))
+            at += len(piece) - len(unpack.unused_data)
+        yield b"".join(parts)
+
+
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (lower-case names) and block of each record of a gzip or plain WARC file."""
-    while content:
-        if content[:2] == b"\x1f\x8b":
-            unpack = zlib.decompressobj(31)
-            raw, content = unpack.decompress(content) + unpack.flush(), unpack.unused_data
-        else:
-            raw, content = content, b""
+    for raw in _members(content):
         stream = io.BytesIO(raw)
         while line := stream.readline():
             if not line.startswith(b"WARC/"):
@@ -161,7 +173,7 @@ def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                     raise ValueError("not a WARC record")
                 continue
             headers = {}
-            while (line := stream.readline().rstrip(b"\r\n")):
+            while line := stream.readline().rstrip(b"\r\n"):
                 name, _, value = line.decode().partition(":")
                 headers[name.strip().lower()] = value.strip()
             yield headers, stream.read(int(headers["content-length"]))
