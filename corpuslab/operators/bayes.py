@@ -163,16 +163,16 @@ def class_scores(scored: DataFrame, doc: str, label: str) -> DataFrame:
     )
 
 
-def best_class(scored: DataFrame, doc: str, label: str) -> DataFrame:
-    """doc, label, prediction: the class with the largest score, the first one on ties."""
+def best_class(scored: DataFrame, doc: str, label: str, *keep) -> DataFrame:
+    """doc, label, keep, prediction: the class with the largest score, the first one on ties."""
     best = F.array_position("scores", F.array_max("scores")).cast("int")
-    return scored.select(doc, label, F.element_at("classes", best).alias("prediction"))
+    return scored.select(doc, label, *keep, F.element_at("classes", best).alias("prediction"))
 
 
-def probabilities(scored: DataFrame, doc: str, label: str) -> DataFrame:
-    """doc, label, probs[], classes[]: scores turned into class probabilities."""
+def probabilities(scored: DataFrame, doc: str, label: str, *keep) -> DataFrame:
+    """doc, label, keep, probs[], classes[]: scores turned into class probabilities."""
     shifted = scored.withColumn("_top", F.array_max("scores")).withColumn(
         "_e", F.transform("scores", lambda s: F.exp(s - F.col("_top")))
     )
     summed = shifted.withColumn("_sum", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
-    return summed.select(doc, label, F.transform("_e", lambda e: e / F.col("_sum")).alias("probs"), "classes")
+    return summed.select(doc, label, *keep, F.transform("_e", lambda e: e / F.col("_sum")).alias("probs"), "classes")

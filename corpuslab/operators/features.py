@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions.arrays import elements
 from corpuslab.functions.text import hash_bucket
 from corpuslab.functions.vectors import sparse_vector
+from corpuslab.operators.ordering import with_row_index
 
 # More classes than this are no classification, but an id column by mistake.
 MAX_CLASSES = 1000
@@ -26,20 +27,14 @@ def classes_of(rows: DataFrame, label: str) -> list:
 
 
 def label_index(rows: DataFrame, label: str) -> DataFrame:
-    """label, idx: sorted distinct labels numbered from 0.
-
-    The window meets only the distinct labels, whose number ``classes_of`` bounds.
-    """
-    classes = classes_of(rows, label)
-    spark = rows.sparkSession
-    schema = f"{label} {rows.schema[label].dataType.simpleString()}, idx int"
-    return spark.createDataFrame([(c, i) for i, c in enumerate(classes)], schema)
+    """label, idx: sorted distinct labels numbered from 0; any number of them, none on the driver."""
+    distinct = rows.where(F.col(label).isNotNull()).select(label).distinct()
+    return with_row_index(distinct, F.asc(label)).withColumn("idx", F.col("idx").cast("int"))
 
 
 def with_label(rows: DataFrame, label: str, name: str = "label") -> DataFrame:
     """Add the class number as a double, taken from the label index."""
-    index = label_index(rows, label)
-    return rows.join(F.broadcast(index), label).withColumn(name, F.col("idx").cast("double")).drop("idx")
+    return rows.join(label_index(rows, label), label).withColumn(name, F.col("idx").cast("double")).drop("idx")
 
 
 def frequency_index(rows: DataFrame, category: str, out: str, encoded: str | None = None) -> DataFrame:
@@ -53,7 +48,7 @@ def frequency_index(rows: DataFrame, category: str, out: str, encoded: str | Non
 def one_hot(rows: DataFrame, category: str) -> DataFrame:
     """category, vec: one 0/1 array per distinct category, in sorted order."""
     index = label_index(rows, category)
-    k = len(classes_of(rows, category))
+    k = index.count()
     vec = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.when(i == F.col("idx"), 1.0).otherwise(0.0))
     return index.select(category, vec.alias("vec"))
 
@@ -91,14 +86,16 @@ def hashed_unit(corpus: DataFrame, num_features: int = 1 << 16, tokens: str = "t
 def hash_terms(terms: DataFrame, num_features: int = 1 << 20) -> DataFrame:
     """term, idx: the feature each term hashes to (terms that collide share one)."""
     single = hashed_counts(terms.withColumn("_t", F.array("term")), num_features, "_t", "_v")
-    hit = F.array_position(vector_to_array("_v"), 1.0) - 1 if num_features <= 1 << 12 else None
-    if hit is not None:
-        return single.select("term", hit.cast("int").alias("idx"))
     # to_json exposes the one index of the sparse vector without densifying it.
     body = F.from_json(F.to_json(F.struct(F.col("_v").alias("v"))), "v struct<indices: array<int>>")
     return single.select("term", F.get(body["v"]["indices"], F.lit(0)).alias("idx"))
 
 
+def terms_by_hash(terms: DataFrame, num_features: int = 1 << 20) -> DataFrame:
+    """idx, terms: for each hashed feature the sorted terms that share it."""
+    return hash_terms(terms, num_features).groupBy("idx").agg(F.sort_array(F.collect_set("term")).alias("terms"))
+
+
 def count_vectors(triplets: DataFrame, size: Column | int, doc: str, *keep: str, value: str = "tf", out: str = "features"):
     """One sparse vector per document out of (doc, term_id, value) rows.
 

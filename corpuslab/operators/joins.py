@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 HOT_TERMS = 1000
 
 
-def join_terms(rows: DataFrame, table: DataFrame, spread_by: str, weight: str, how: str = "inner") -> DataFrame:
+def join_terms(rows: DataFrame, table: DataFrame, spread_by: str, weight: str, how: str = "inner", seen: DataFrame | None = None) -> DataFrame:
     """Add the columns of ``table`` (unique term, ``weight`` = its frequency) to ``rows``.
 
     Word frequencies are skewed: a few terms hold most rows. The most frequent
@@ -17,14 +17,22 @@ def join_terms(rows: DataFrame, table: DataFrame, spread_by: str, weight: str, h
     the shuffle of the second join is even. Rows without a term scatter too. The
     rest is a plain equi-join, which Spark turns into a broadcast when the table
     turns out small.
+
+    What is hot is a matter of the rows: where ``table`` lacks terms the rows have, or counts something else, ``seen``
+    (term, n = its number of rows) tells; a hot term that the table lacks then is a broadcast row without value.
     """
     # Both uses of the table get the filter the join would infer, so that its exchange is shared.
     table = table.where(F.col("term").isNotNull())
     value = F.struct(*[c for c in table.columns if c != "term"])
-    hot = table.orderBy(F.desc(weight), F.asc("term")).limit(HOT_TERMS).select("term", value.alias("_hot"))
+    if seen is None:
+        hot = table.orderBy(F.desc(weight), F.asc("term")).limit(HOT_TERMS).select("term", value.alias("_hot"))
+    else:
+        hot = seen.where(F.col("term").isNotNull()).orderBy(F.desc("n"), F.asc("term")).limit(HOT_TERMS).select("term")
+        hot = hot.join(table.select("term", value.alias("_hot")), "term", "left")
+    hot = hot.withColumn("_is_hot", F.lit(True))
     rest = table.select(F.col("term").alias("_key"), value.alias("_rest"))
     scattered = F.concat(F.lit("\u0000"), F.xxhash64(spread_by, "term").cast("string"))
-    key = F.when(F.col("_hot").isNotNull() | F.col("term").isNull(), scattered).otherwise(F.col("term"))
+    key = F.when(F.col("_is_hot") | F.col("term").isNull(), scattered).otherwise(F.col("term"))
     keyed = rows.join(F.broadcast(hot), "term", "left").withColumn("_key", key)
     found = keyed.join(rest, "_key", "left").withColumn("_value", F.coalesce("_hot", "_rest"))
     if how == "inner":

@@ -33,8 +33,8 @@ def lexicon_terms(frequencies: DataFrame, lexicon: DataFrame, used: DataFrame, d
     without a noun analysis drop out. ``used`` has term and df: it tells which
     forms are hot.
     """
-    words = resolve(lexicon, pos).withColumnRenamed("surface", "term").join(used, "term")
-    found = join_terms(frequencies, words, doc, "df")
+    words = resolve(lexicon, pos).withColumnRenamed("surface", "term")
+    found = join_terms(frequencies, words, doc, "df", seen=used.select("term", F.col("df").alias("n")))
     words = found.select(doc, F.explode("words").alias("term"), "tf")
     return words.groupBy(doc, "term").agg(F.sum("tf").alias("tf"))
 
@@ -52,8 +52,9 @@ def lemmas(
     ``lemma_table`` has one lemma per surface form, ``used`` term and df.
     """
     lemma = F.lower(F.coalesce("lemma", "term"))
-    table = lemma_table.withColumnRenamed("surface", "term").join(used, "term")
-    mapped = join_terms(frequencies, table, doc, "df", "left").select(doc, lemma.alias("term"), "tf")
+    table = lemma_table.withColumnRenamed("surface", "term")
+    seen = used.select("term", F.col("df").alias("n"))
+    mapped = join_terms(frequencies, table, doc, "df", "left", seen).select(doc, lemma.alias("term"), "tf")
     keep = (
         (F.length("term") >= min_length)
         & F.col("term").rlike(r"^\p{L}+$")

@@ -81,16 +81,18 @@ def knn_join(
         ids, carried = b["rid"].to_numpy(), b["carry"].to_numpy()
         rough = (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2.0 * q @ r.T
         take = min(k, len(ids))
-        # Keep everything within rounding of the k-th distance, then rank exactly.
+        # The product form loses digits in proportion to the squared lengths, wherever the k-th distance lies: keep
+        # everything within that of it, then rank by the differences themselves.
         limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-        slack = 1e-9 * (1.0 + np.abs(limit))
-        out = []
-        for i, qid in enumerate(a["qid"].to_numpy()):
-            near = np.flatnonzero(rough[i] <= limit[i] + slack[i])
-            exact = ((r[near] - q[i]) ** 2).sum(1)
-            best = near[np.lexsort((ids[near], exact))[:take]]
-            out.append(pd.DataFrame({"qid": qid, "rid": ids[best], "carry": carried[best], "dist2": ((r[best] - q[i]) ** 2).sum(1)}))
-        return pd.concat(out, ignore_index=True)
+        slack = 1e-12 * q.shape[1] * ((q * q).sum(1) + (r * r).sum(1).max())
+        at, near = np.nonzero(rough <= (limit + slack)[:, None])
+        exact = ((r[near] - q[at]) ** 2).sum(1)
+        order = np.lexsort((ids[near], exact, at))
+        at, near, exact = at[order], near[order], exact[order]
+        first = np.r_[0, np.flatnonzero(np.diff(at)) + 1]
+        best = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)])) < take
+        at, near, exact = at[best], near[best], exact[best]
+        return pd.DataFrame({"qid": a["qid"].to_numpy()[at], "rid": ids[near], "carry": carried[near], "dist2": exact})
 
     types = {"qid": queries.schema[query_key], "rid": rows.schema[key], "carry": rows.schema[carry]}
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in types.items()) + ", dist2 double"

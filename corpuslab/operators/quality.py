@@ -169,3 +169,10 @@ def error_slice(rows: DataFrame, label: str, prediction: str, kind: str) -> Data
     """The true or false positives or negatives: kind is tp, tn, fp or fn."""
     want = {"tp": (1, 1), "tn": (0, 0), "fp": (0, 1), "fn": (1, 0)}[kind]
     return rows.where((F.col(label) == want[0]) & (F.col(prediction) == want[1]))
+
+
+def error_kinds(rows: DataFrame, label: str, prediction: str) -> DataFrame:
+    """The rows with kind: tp, tn, fp or fn, all in one pass."""
+    right = F.col(label) == F.col(prediction)
+    kind = F.when(right, F.when(F.col(label) == 1, "tp").otherwise("tn")).otherwise(F.when(F.col(label) == 0, "fp").otherwise("fn"))
+    return rows.withColumn("kind", kind)

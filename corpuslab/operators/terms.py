@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from corpuslab.functions.arrays import elements
 from corpuslab.operators.joins import join_terms
 from corpuslab.operators.ordering import top_n, top_per_group, with_row_index
+from corpuslab.session import materialize
 
 
 def term_frequencies(corpus: DataFrame, *keep: str, tokens: str = "tokens", keep_empty: bool = False) -> DataFrame:
@@ -133,12 +134,12 @@ def tfidf(corpus: DataFrame, doc: str, num_terms: int, tokens: str = "tokens") -
     """doc, term, weight = idf * tf / tokens in the document, for the top ``num_terms`` terms by df.
 
     The denominator counts all tokens, also those outside the kept terms. The
-    kept table has ``num_terms`` rows, so its broadcast has a known bound.
+    most frequent of the kept terms are broadcast, see ``join_terms``.
     """
     kept = idf(top_terms(document_frequencies(corpus, tokens), num_terms), number_of(corpus))
     counted = term_frequencies(corpus.withColumn("_total", F.size(tokens)), doc, "_total", tokens=tokens)
     weight = F.col("idf") * F.col("tf") / F.col("_total")
-    return counted.join(F.broadcast(kept), "term").select(doc, "term", weight.alias("weight"))
+    return join_terms(counted, kept, doc, "df").select(doc, "term", weight.alias("weight"))
 
 
 def tfidf_unit(
@@ -155,13 +156,15 @@ def tfidf_unit(
     documents are left out.
     """
     n_docs = number_of(corpus)
-    terms = document_frequencies(corpus, tokens).where(F.col("df") <= F.lit(max_df) * n_docs)
-    if stop_words:
-        terms = terms.where(~F.col("term").isin(list(stop_words)))
+    if stop_words:  # in the row, before anything is shuffled
+        corpus = corpus.withColumn(tokens, F.filter(tokens, lambda t: ~t.isin(list(stop_words))))
+    every = document_frequencies(corpus, tokens)
+    terms = every.where(F.col("df") <= F.lit(max_df) * n_docs)
     terms = terms.select("term", "df", (F.log((n_docs + 1) / (F.col("df") + 1).cast("double")) + 1).alias("idf"))
     tf = (F.log(F.col("tf").cast("double")) + 1) if sublinear else F.col("tf").cast("double")
     counted = term_frequencies(corpus, doc, tokens=tokens)
-    weighted = join_terms(counted, terms, doc, "df").select(doc, "term", (tf * F.col("idf")).alias("_w"))
+    seen = every.select("term", F.col("df").alias("n"))
+    weighted = join_terms(counted, terms, doc, "df", seen=seen).select(doc, "term", (tf * F.col("idf")).alias("_w"))
     length = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(doc)))
     return weighted.select(doc, "term", (F.col("_w") / length).alias("weight"))
 
@@ -174,8 +177,9 @@ def similar_documents(weights: DataFrame, doc: str, query, n: int) -> DataFrame:
     """The ``n`` documents closest to one document by cosine of their weights.
 
     Only the query document's terms are joined; one document's terms are a
-    bounded table.
+    bounded table. The weights are used several times and written once.
     """
+    weights = materialize(weights, "weights")
     wanted = F.broadcast(weights.where(F.col(doc) == query).select("term", F.col("weight").alias("_q")))
     length = weights.groupBy(doc).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_len"))
     dots = weights.join(wanted, "term").groupBy(doc).agg(F.sum(F.col("weight") * F.col("_q")).alias("_dot"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.clustering import LDA
 from pyspark.ml.functions import vector_to_array
@@ -13,11 +15,11 @@ from pyspark.sql import functions as F
 from corpuslab.operators.categories import composition, share
 from corpuslab.operators.features import classes_of, count_vectors
 from corpuslab.operators.ordering import top_per_group
-from corpuslab.operators.terms import count_triplets, document_frequencies, term_index
+from corpuslab.operators.terms import count_triplets, document_frequencies, term_index, top_terms
 from corpuslab.session import ensure_checkpoints, materialize
 
-# A fitted model is read back as one topics-by-terms matrix; this bounds it to 1.6 GB.
-MAX_MODEL_CELLS = 200_000_000
+# Cohorts fitted at the same time.
+PARALLEL_FITS = 3
 
 
 @dataclass
@@ -36,20 +38,24 @@ def fit(
     k: int,
     iterations: int,
     seed: int = 7,
-    optimizer: str = "em",
+    optimizer: str = "online",
     tokens: str = "tokens",
+    num_terms: int | None = None,
 ) -> Topics:
-    """Fit on the full vocabulary.
+    """Fit on the ``num_terms`` terms of most documents, or on all.
 
-    Term ids and count vectors stay distributed and are written once, since
-    every iteration reads them. ``em`` keeps the model on a graph; ``online``
-    samples mini-batches and suits large collections.
+    The library reads a model back as one topics-by-terms matrix, so ``k`` times
+    ``num_terms`` is the model's size, whatever the number of documents. Term ids
+    and count vectors stay distributed and are written once, since every
+    iteration reads them. ``online`` goes through mini-batches and suits large
+    collections; ``em`` keeps the model on a graph and shuffles it every round.
     """
     ensure_checkpoints(corpus.sparkSession)
-    terms = materialize(term_index(document_frequencies(corpus, tokens)), "terms")
+    frequencies = document_frequencies(corpus, tokens)
+    if num_terms is not None:
+        frequencies = top_terms(frequencies, num_terms)
+    terms = materialize(term_index(frequencies), "terms")
     size = terms.count()
-    if size * k > MAX_MODEL_CELLS:
-        raise ValueError(f"{size} terms x {k} topics exceed the model bound; drop rare terms first")
     rows = materialize(count_vectors(count_triplets(corpus, terms, doc, tokens), size, doc), "counts")
     lda = LDA(k=k, maxIter=iterations, seed=seed, optimizer=optimizer, featuresCol="features")
     return Topics(lda.fit(rows), doc, terms, rows)
@@ -85,11 +91,12 @@ def fit_by(corpus: DataFrame, cohort: str, doc: str, describe: Callable[[Topics]
 
     Cohorts are few (years); their number is checked when they are listed.
     """
-    results = None
-    for value in classes_of(corpus, cohort):
-        found = describe(fit(corpus.where(F.col(cohort) == value), doc, **settings)).withColumn(cohort, F.lit(value))
-        results = found if results is None else results.unionByName(found)
-    return results
+    values = classes_of(corpus, cohort)
+    parts = [corpus.where(F.col(cohort) == value) for value in values]
+    with ThreadPool(PARALLEL_FITS) as pool:  # fits side by side: each leaves most of a cluster idle between its rounds
+        found = pool.map(lambda part: describe(fit(part, doc, **settings)), parts)
+    named = [rows.withColumn(cohort, F.lit(value)) for rows, value in zip(found, values)]
+    return reduce(DataFrame.unionByName, named)
 
 
 def overview(terms: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from corpuslab.functions import text
 from corpuslab.operators import bayes, learners, quality, terms, topics
 from corpuslab.plans import prepare
 from corpuslab.plans.model_queries import _CENTROID, _VCONF, centroid_scores
+from corpuslab.plans.latent_queries import fitted
 from corpuslab.plans.registry import query
 from corpuslab.plans.tables import DF, DOCS, RATINGS, TF, corpus, documents, rating_rows, table, vectors
 from corpuslab.session import new_path
@@ -191,33 +192,34 @@ def libsvm_roundtrip(spark, folder):
     )
 
 
-_TOP = f"WITH {DF}, top AS (SELECT term FROM df ORDER BY df DESC, term LIMIT 1000), idx AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM top)"
+_INDEX = f"WITH {DF}, idx AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id FROM df)"
 
 
-def top_triplets(spark, folder):
+def indexed_terms(spark, folder):
+    """The corpus and the number of each of its terms, with document frequencies."""
     rows = corpus(spark, folder)
-    index = terms.term_index(terms.top_terms(terms.document_frequencies(rows), 1000).select("term"))
-    return terms.count_triplets(rows, index, "doc_id")
+    return rows, terms.term_index(terms.document_frequencies(rows))
 
 
 @query(
     "matrix_text_roundtrip",
-    f'{_TOP} SELECT doc_id AS "row", CAST(term_id AS INT) AS term_id, CAST(tf AS DOUBLE) AS value FROM tf JOIN idx USING (term)',
+    f'{_INDEX} SELECT doc_id AS "row", CAST(term_id AS INT) AS term_id, CAST(tf AS DOUBLE) AS value FROM tf JOIN idx USING (term)',
 )
 def matrix_text_roundtrip(spark, folder):
     path = new_path(spark, "matrix")
-    triplets = top_triplets(spark, folder).select(F.col("doc_id").alias("row"), "term_id", F.col("tf").cast("double").alias("value"))
-    writers.matrix_lines(triplets, 1000).write.text(path)
+    rows, index = indexed_terms(spark, folder)
+    triplets = terms.count_triplets(rows, index, "doc_id").select(F.col("doc_id").alias("row"), "term_id", F.col("tf").cast("double").alias("value"))
+    writers.matrix_lines(triplets, index.count()).write.text(path)
     return readers.matrix_text(spark, path)
 
 
 @query(
     "ldac_roundtrip",
-    f"{_TOP} SELECT doc_id, CAST(term_id AS INT) AS term_id, CAST(tf AS INT) AS cnt FROM tf JOIN idx USING (term)",
+    f"{_INDEX} SELECT doc_id, CAST(term_id AS INT) AS term_id, CAST(tf AS INT) AS cnt FROM tf JOIN idx USING (term)",
 )
 def ldac_roundtrip(spark, folder):
     path = new_path(spark, "ldac")
-    lines = writers.bag_of_words_lines(top_triplets(spark, folder).withColumnRenamed("tf", "cnt"), "doc_id")
+    lines = writers.bag_of_words_lines(terms.count_triplets(*indexed_terms(spark, folder), "doc_id").withColumnRenamed("tf", "cnt"), "doc_id")
     writers.table_csv(lines, path, header=False)
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("value", T.StringType())])
     return readers.bag_of_words(spark.read.csv(path, schema=schema), "doc_id")
@@ -225,12 +227,11 @@ def ldac_roundtrip(spark, folder):
 
 @query(
     "vocabulary_lines",
-    f"{_TOP} SELECT term, term_id FROM idx",
+    f"{_INDEX} SELECT term, term_id FROM idx",
 )
 def vocabulary_lines(spark, folder):
     """Terms written in order, one per line and with their number, come back as the same index."""
-    rows = corpus(spark, folder)
-    index = terms.term_index(terms.top_terms(terms.document_frequencies(rows), 1000).select("term"))
+    _, index = indexed_terms(spark, folder)
     path = new_path(spark, "vocabulary")
     index.select(F.concat_ws(":", "term", "term_id").alias("value")).write.text(path)
     value = F.col("value")
@@ -239,13 +240,12 @@ def vocabulary_lines(spark, folder):
     )
 
 
-@query("vocabulary_by_line", f"{_TOP} SELECT term, term_id FROM idx")
+@query("vocabulary_by_line", f"{_INDEX} SELECT term, term_id FROM idx")
 def vocabulary_by_line(spark, folder):
-    """A vocabulary file without numbers: the line of a term is its id. The kept terms are a fixed number."""
-    rows = corpus(spark, folder)
-    kept = terms.top_terms(terms.document_frequencies(rows), 1000).select("term")
+    """Vocabulary files without numbers: the line of a term, over the files in order, is its id."""
+    kept = terms.document_frequencies(corpus(spark, folder)).select("term")
     path = new_path(spark, "vocabulary")
-    kept.orderBy("term").coalesce(1).write.text(path)
+    kept.orderBy("term").write.text(path)
     return readers.numbered_lines(spark, path).select(F.col("value").alias("term"), F.col("line").alias("term_id"))
 
 
@@ -425,14 +425,14 @@ def prepared_cohort(spark, folder):
     return found.groupBy(text.year_of("doc_id").alias("year")).agg(F.count("*").alias("n_docs"))
 
 
-@query("model_store", "SELECT CAST(t AS INT) AS topic, true AS same FROM range(3) r(t)")
+@query("model_store", "SELECT CAST(t AS INT) AS topic, true AS same FROM range(20) r(t)")
 def model_store(spark, folder):
     """A saved topic model describes the same topics after loading."""
-    fitted = topics.fit(corpus(spark, folder), "doc_id", 3, 3)
+    model = fitted(spark, folder)
     path = new_path(spark, "model")
-    writers.save_model(fitted.model, path)
-    loaded = topics.Topics(readers.load_topic_model(path), fitted.doc, fitted.terms, fitted.rows)
-    before, after = topics.topic_terms(fitted, 10), topics.topic_terms(loaded, 10).withColumnRenamed("weight", "again")
+    writers.save_model(model.model, path)
+    loaded = topics.Topics(readers.load_topic_model(path), model.doc, model.terms, model.rows)
+    before, after = topics.topic_terms(model, 10), topics.topic_terms(loaded, 10).withColumnRenamed("weight", "again")
     both = before.join(after, ["topic", "term"], "full_outer")
     close = F.coalesce(F.abs(F.col("weight") - F.col("again")) < 1e-9, F.lit(False))
     return both.groupBy("topic").agg(F.every(close).alias("same"))

@@ -14,7 +14,7 @@ from corpuslab.sources import writers
 
 # At full rank (as many concepts as terms) U·S·Vᵀ is the TF-IDF matrix, so every
 # search has an exact counterpart in SQL.
-NUM_TERMS = 30
+NUM_TERMS = 90
 _A = (
     f"WITH {TF}, n AS (SELECT count(*) AS n FROM documents), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),"
     f" top AS (SELECT term, ln(CAST(n AS DOUBLE) / df) AS idf FROM df, n ORDER BY df DESC, term LIMIT {NUM_TERMS}), tot AS (SELECT doc_id, sum(tf) AS total FROM tf GROUP BY doc_id),"
@@ -90,23 +90,40 @@ def lsa_reconstruction(spark, folder):
     return total.withColumn("total", F.round("total", 6))
 
 
-@query("lsa_concepts")
+LSA_TERMS, LSA_K = 5000, 100
+
+
+@query(
+    "lsa_concepts",
+    f"WITH {TF}, size AS (SELECT least({LSA_K}, count(*) FILTER (df < (SELECT count(*) FROM documents))) AS k FROM (SELECT term, count(*) AS df FROM tf GROUP BY term ORDER BY df DESC, term LIMIT {LSA_TERMS}))"
+    " SELECT CAST(c AS INT) AS concept, CAST(10 AS BIGINT) AS n_terms, CAST(10 AS BIGINT) AS n_docs, 1.0::DOUBLE AS v_length, 1.0::DOUBLE AS u_length, true AS falling FROM size, range(k) r(c)",
+)
 def lsa_concepts(spark, folder):
-    """Top ten terms and documents of the first ten concepts over 500 terms."""
-    model = lsa.fit(corpus(spark, folder), "doc_id", 500, 10)
-    by_term = lsa.concept_terms(model, 10).select("concept", F.lit("term").alias("kind"), F.col("term").alias("name"), "rank")
-    by_doc = lsa.concept_documents(model, 10).select(
-        "concept", F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("name"), "rank"
-    )
-    return by_term.unionByName(by_doc)
+    """Every concept has its ten terms and documents, factors of length 1 and a singular value not above the one before."""
+    model = lsa.fit(corpus(spark, folder), "doc_id", LSA_TERMS, LSA_K)
+    by_term = lsa.concept_terms(model, 10).groupBy("concept").agg(F.count("*").alias("n_terms"))
+    by_doc = lsa.concept_documents(model, 10).groupBy("concept").agg(F.count("*").alias("n_docs"))
+    squares = lambda rows, v: rows.select(F.posexplode(v).alias("concept", "x")).groupBy("concept").agg(F.sum(F.col("x") * F.col("x")).alias("s"))
+    values = lsa.singular_values(model, spark)
+    before = values.select((F.col("concept") + 1).alias("concept"), F.col("value").alias("before"))
+    falling = values.join(before, "concept", "left").withColumn("falling", F.col("before").isNull() | (F.col("value") <= F.col("before")))
+    v = squares(model.terms, "v").select("concept", F.round("s", 6).alias("v_length"))
+    u = squares(model.docs, "us").withColumnRenamed("s", "us")
+    joined = falling.join(by_term, "concept").join(by_doc, "concept").join(v, "concept").join(u, "concept")
+    return joined.select("concept", "n_terms", "n_docs", "v_length", F.round(F.col("us") / (F.col("value") * F.col("value")), 6).alias("u_length"), "falling")
 
 
 # --- Topic models. Weights depend on the library's random start, shapes do not.
-K, TERMS_PER_TOPIC = 5, 10
+K, ITERATIONS, TERMS_PER_TOPIC, LDA_TERMS = 20, 100, 10, 5000
+_FITTED: dict[tuple[str, str], topics.Topics] = {}
 
 
-def fitted(spark, folder, iterations=10):
-    return topics.fit(corpus(spark, folder), "doc_id", K, iterations)
+def fitted(spark, folder):
+    """One model per folder and application, shared by all queries about it."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _FITTED:
+        _FITTED[key] = topics.fit(corpus(spark, folder), "doc_id", K, ITERATIONS, num_terms=LDA_TERMS)
+    return _FITTED[key]
 
 
 @query(
@@ -124,11 +141,15 @@ def lda_topic_terms(spark, folder):
     return topics.topic_terms(fitted(spark, folder), TERMS_PER_TOPIC)
 
 
-@query("lda_online_terms")
-def lda_online_terms(spark, folder):
-    """The mini-batch optimiser, for large collections."""
-    model = topics.fit(corpus(spark, folder), "doc_id", K, 10, optimizer="online")
-    return topics.topic_terms(model, TERMS_PER_TOPIC)
+@query(
+    "lda_em_topics",
+    f"SELECT CAST(t AS INT) AS topic, CAST({TERMS_PER_TOPIC} AS BIGINT) AS n_terms, true AS in_range FROM range(10) r(t)",
+)
+def lda_em_topics(spark, folder):
+    """The graph optimiser, with the settings of the award corpus."""
+    model = topics.fit(corpus(spark, folder), "doc_id", 10, 20, optimizer="em", num_terms=LDA_TERMS)
+    found = topics.topic_terms(model, TERMS_PER_TOPIC)
+    return found.groupBy("topic").agg(F.count("*").alias("n_terms"), F.every(F.col("weight").between(0, 1)).alias("in_range"))
 
 
 @query(
@@ -154,7 +175,7 @@ def lda_top_topics(spark, folder):
 @query("lda_by_cohort")
 def lda_by_cohort(spark, folder):
     rows = corpus(spark, folder).withColumn("year", cohort())
-    return topics.fit_by(rows, "year", "doc_id", lambda t: topics.topic_terms(t, TERMS_PER_TOPIC), k=K, iterations=5)
+    return topics.fit_by(rows, "year", "doc_id", lambda t: topics.topic_terms(t, TERMS_PER_TOPIC), k=K, iterations=ITERATIONS, num_terms=LDA_TERMS)
 
 
 @query("lda_overview")

@@ -49,11 +49,9 @@ def lang_predictions(spark, folder):
 
 def quality_margins(spark, folder):
     """doc_id, label, margin (log odds), prob of the positive class."""
-    scored = quality_scores(spark, folder)
-    margin = F.get("scores", F.lit(1)) - F.get("scores", F.lit(0))
-    probs = bayes.probabilities(scored, "doc_id", "quality").select("doc_id", F.get("probs", F.lit(1)).alias("prob"))
-    rows = scored.select("doc_id", F.col("quality").alias("label"), F.round(margin, 4).alias("margin"))
-    return rows.join(probs, "doc_id")
+    margin = F.round(F.get("scores", F.lit(1)) - F.get("scores", F.lit(0)), 4).alias("margin")
+    rows = bayes.probabilities(quality_scores(spark, folder), "doc_id", "quality", margin)
+    return rows.select("doc_id", F.col("quality").alias("label"), "margin", F.get("probs", F.lit(1)).alias("prob"))
 
 
 @query("nb_multiclass", f"WITH {LANG_NB} SELECT doc_id, label, class, round(score, 4) AS score FROM scores")
@@ -179,8 +177,7 @@ def embedding_neighbors(spark, folder):
 )
 def nearest_centroid(spark, folder):
     scored = centroid_scores(spark, folder)
-    best = bayes.best_class(scored, "vec_id", "label")
-    return best.join(scored.select("vec_id", F.round(F.array_max("scores"), 5).alias("score")), "vec_id")
+    return bayes.best_class(scored, "vec_id", "label", F.round(F.array_max("scores"), 5).alias("score"))
 
 
 _KNN = (
@@ -245,10 +242,7 @@ def class_keywords(spark, folder):
 def error_slices(spark, folder):
     rows = bayes.best_class(quality_scores(spark, folder), "doc_id", "quality")
     meta = table(spark, folder, "documents").select("doc_id", "lang", "source")
-    found = None
-    for kind in ("tp", "tn", "fp", "fn"):
-        part = quality.error_slice(rows, "quality", "prediction", kind).select("doc_id", F.lit(kind).alias("kind"))
-        found = part if found is None else found.unionByName(part)
+    found = quality.error_kinds(rows, "quality", "prediction").select("doc_id", "kind")
     return found.join(meta, "doc_id")
 
 

@@ -113,15 +113,12 @@ def title_merge(spark, folder):
 @query(
     "english_tokens",
     "WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s'), lambda t: length(t) > 3 AND"
-    " regexp_full_match(t, '\\p{L}+')) AS w FROM documents WHERE lang = 'en')"
-    " SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, array_to_string(w[1:5], ' ') AS head FROM words WHERE len(w) > 1",
+    " regexp_full_match(t, '\\p{L}+')) AS w FROM documents)"
+    " SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, array_to_string(w, ' ') AS words FROM words WHERE len(w) > 1",
 )
 def english_tokens(spark, folder):
-    rows = documents(spark, folder, "lang").where(F.col("lang") == "en")
-    words = rows.select("doc_id", text.plain_words("text").alias("w")).where(F.size("w") > 1)
-    return words.select(
-        "doc_id", F.size("w").cast("long").alias("n_tokens"), F.array_join(F.slice("w", 1, 5), " ").alias("head")
-    )
+    words = documents(spark, folder).select("doc_id", text.plain_words("text").alias("w")).where(F.size("w") > 1)
+    return words.select("doc_id", F.size("w").cast("long").alias("n_tokens"), F.array_join("w", " ").alias("words"))
 
 
 @query(
@@ -247,8 +244,8 @@ def lexicon_lemma(spark, folder):
 @query(
     "regex_words",
     "SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]')) AS BIGINT) AS n_words,"
-    " array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]')[1:8], ' ') AS head FROM documents",
+    " array_to_string(regexp_extract_all(text, '[\\p{L}\\p{N}]+|[^\\p{L}\\p{N}\\s]'), ' ') AS words FROM documents",
 )
 def regex_words(spark, folder):
     rows = documents(spark, folder).select("doc_id", text.words_in("text").alias("w"))
-    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.array_join(F.slice("w", 1, 8), " ").alias("head"))
+    return rows.select("doc_id", F.size("w").cast("long").alias("n_words"), F.array_join("w", " ").alias("words"))

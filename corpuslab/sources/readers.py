@@ -184,11 +184,10 @@ def predictions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 
 
 def load_topic_model(path: str):
-    """A saved topic model, distributed (EM) or local (online)."""
-    try:
-        return DistributedLDAModel.load(path)
-    except Exception:
-        return LocalLDAModel.load(path)
+    """A saved topic model, distributed (EM) or local (online), as its metadata says."""
+    spark = SparkSession.getActiveSession()
+    kind = spark.read.json(f"{path}/metadata").select("class").first()[0]
+    return (DistributedLDAModel if kind.endswith("DistributedLDAModel") else LocalLDAModel).load(path)
 
 
 def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:

@@ -180,21 +180,40 @@ def test_singular_values_match_numpy(spark):
     matrix = np.array([[weights.get((d, t), 0.0) for t in "ABCDEFGH"] for d in range(40)])
     expected = np.linalg.svd(matrix, compute_uv=False)
     assert model.singular == pytest.approx([s for s in expected if s > 1e-7 * expected[0]], rel=1e-6)
-    loop, v = lsa._factor(lsa.weighted_rows(rows, "doc_id", list("ABCDEFGH"), [1.0] * 8), 8, 2)
-    forced = lsa.MAX_GRAM_TERMS
-    try:
-        lsa.MAX_GRAM_TERMS = 0
-        again, w = lsa._factor(lsa.weighted_rows(rows, "doc_id", list("ABCDEFGH"), [1.0] * 8), 8, 2)
-    finally:
-        lsa.MAX_GRAM_TERMS = forced
-    assert list(again) == pytest.approx(list(loop), rel=1e-6)
-    assert np.abs(v.T @ w).max() == pytest.approx(1.0, rel=1e-6)
+    assert np.allclose([r.us for r in model.docs.orderBy("doc_id").collect()], matrix @ np.array([r.v for r in model.terms.orderBy("term").collect()]), atol=1e-8)
 
 
-def test_model_bounds_are_checked(spark):
-    rows = token_rows(spark, "A B")
-    with pytest.raises(ValueError):
-        lsa.fit(rows, "doc_id", 100_000_000, 10)
+def test_concepts_fit_without_session_settings(spark):
+    """The operators need none of ``build_session``'s settings."""
+    name = "spark.sql.execution.arrow.pyspark.enabled"
+    spark.conf.set(name, "false")
+    try:
+        model = lsa.fit(token_rows(spark, "A B C", "A A D", "B D"), "doc_id", 4, 2)
+        assert len(model.singular) == 2 and model.docs.count() == 3
+    finally:
+        spark.conf.set(name, "true")
+
+
+def test_hot_terms_of_the_rows_are_scattered(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "THE").otherwise(F.concat(F.lit("w"), F.col("id").cast("string"))).alias("term"))
+    table = rows.where("term <> 'THE'").select("term", F.lit(1).alias("df"))
+    seen = rows.groupBy("term").agg(F.count("*").alias("n"))
+    found = joins.join_terms(rows, table, "id", "df", "left", seen)
+    assert found.count() == 3000 and found.where("df is null").count() == 1000
+    plan = found._jdf.queryExecution().toString()
+    assert "_key" in plan
+
+
+def test_long_vectors_keep_their_neighbours(spark):
+    rng = np.random.default_rng(4)
+    points = 1e4 + rng.normal(size=(400, 64))
+    rows = spark.createDataFrame([(i, p.tolist(), i % 3) for i, p in enumerate(points)], "id long, vec array<double>, label int")
+    found = neighbors.knn_join(rows.where("id < 20").withColumnRenamed("id", "q"), rows, "q", "id", "vec", 5, "label", block_rows=100)
+    by_query = {}
+    for r in found.orderBy("q", "rank").collect():
+        by_query.setdefault(r.q, []).append(r.id)
+    for q, ids in by_query.items():
+        assert ids == np.argsort(((points - points[q]) ** 2).sum(1), kind="stable")[:5].tolist()
 
 
 def test_topic_similarity(spark):
