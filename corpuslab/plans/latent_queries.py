@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.arrays import elements
+from corpuslab.functions.text import hash_bucket
 from corpuslab.operators import categories, features, learners, lsa, ratings, terms, topics
 from corpuslab.plans.registry import query
-from corpuslab.plans.tables import TF, cohort, corpus, rating_rows, table, vectors
-from corpuslab.session import ensure_checkpoints
+from corpuslab.plans.tables import BUCKET, DF, RATINGS, TF, VEC_BUCKET, cohort, corpus, labelled_corpus, rating_rows, table, vectors
+from corpuslab.session import ensure_checkpoints, materialize
 from corpuslab.sources import writers
 
 # At full rank (as many concepts as terms) U·S·Vᵀ is the TF-IDF matrix, so every
@@ -136,9 +138,16 @@ def lda_topics(spark, folder):
     return found.groupBy("topic").agg(F.count("*").alias("n_terms"), F.every(F.col("weight").between(0, 1)).alias("in_range"))
 
 
-@query("lda_topic_terms")
+@query(
+    "lda_topic_terms",
+    f"WITH {DF}, top AS (SELECT term FROM df ORDER BY df DESC, term LIMIT {LDA_TERMS}) SELECT CAST(t AS INT) AS topic, CAST({TERMS_PER_TOPIC} AS BIGINT) AS n_terms, CAST(0 AS BIGINT) AS unknown FROM range({K}) r(t)",
+)
 def lda_topic_terms(spark, folder):
-    return topics.topic_terms(fitted(spark, folder), TERMS_PER_TOPIC)
+    """The heaviest terms of each topic are different and of the vocabulary."""
+    found = topics.topic_terms(fitted(spark, folder), TERMS_PER_TOPIC)
+    known = terms.top_terms(terms.document_frequencies(corpus(spark, folder)), LDA_TERMS).select("term", F.lit(0).alias("known"))
+    marked = found.join(known, "term", "left")
+    return marked.groupBy("topic").agg(F.count_distinct("term").alias("n_terms"), F.count_if(F.col("known").isNull()).alias("unknown"))
 
 
 @query(
@@ -162,29 +171,60 @@ def lda_doc_topics(spark, folder):
     return weights.groupBy("doc_id").agg(F.count("*").alias("n_topics"), F.round(F.sum("weight"), 6).alias("total"))
 
 
-@query("lda_top_docs")
+def ranked(rows, by):
+    """Per group: how many different members, and whether weights fall with rank."""
+    before = F.lag("weight").over(Window.partitionBy(by).orderBy("rank"))
+    marked = rows.withColumn("_falls", F.coalesce(F.col("weight") <= before, F.lit(True)))
+    return marked.groupBy(by).agg(F.count_distinct("doc_id" if by == "topic" else "topic").alias("n"), F.every("_falls").alias("falling"))
+
+
+@query("lda_top_docs", f"SELECT CAST(t AS INT) AS topic, CAST(10 AS BIGINT) AS n, true AS falling FROM range({K}) r(t)")
 def lda_top_docs(spark, folder):
-    return topics.topic_documents(topics.topic_weights(fitted(spark, folder)), "doc_id", 10)
+    """Ten different documents for each topic, weights falling."""
+    return ranked(topics.topic_documents(topics.topic_weights(fitted(spark, folder)), "doc_id", 10), "topic")
 
 
-@query("lda_top_topics")
+@query("lda_top_topics", "SELECT doc_id, CAST(3 AS BIGINT) AS n, true AS falling FROM documents")
 def lda_top_topics(spark, folder):
-    return topics.document_topics(topics.topic_weights(fitted(spark, folder)), "doc_id", 3)
+    """Three different topics for each document, weights falling."""
+    return ranked(topics.document_topics(topics.topic_weights(fitted(spark, folder)), "doc_id", 3), "doc_id")
 
 
-@query("lda_by_cohort")
+@query(
+    "lda_by_cohort",
+    f"SELECT CAST(y AS INT) AS year, CAST(t AS INT) AS topic, CAST({TERMS_PER_TOPIC} AS BIGINT) AS n_terms FROM range({K}) r(t), (SELECT DISTINCT doc_id % 3 + 2013 AS y FROM documents)",
+)
 def lda_by_cohort(spark, folder):
+    """A model of its own for each year."""
     rows = corpus(spark, folder).withColumn("year", cohort())
+    found = cohort_topics(rows)
+    return found.groupBy("year", "topic").agg(F.count_distinct("term").alias("n_terms"))
+
+
+def cohort_topics(rows):
     return topics.fit_by(rows, "year", "doc_id", lambda t: topics.topic_terms(t, TERMS_PER_TOPIC), k=K, iterations=ITERATIONS, num_terms=LDA_TERMS)
 
 
-@query("lda_overview")
+@query("lda_overview", f"SELECT CAST(t AS INT) AS topic, CAST({TERMS_PER_TOPIC} AS INT) AS n_terms, true AS heaviest_first FROM range({K}) r(t)")
 def lda_overview(spark, folder):
-    return topics.overview(topics.topic_terms(fitted(spark, folder), TERMS_PER_TOPIC))
+    """One line per topic; its first word is the topic's heaviest."""
+    found = topics.topic_terms(fitted(spark, folder), TERMS_PER_TOPIC)
+    top = found.groupBy("topic").agg(F.max("weight").alias("most"))
+    lines = topics.overview(found).join(top, "topic").withColumn("term", F.substring_index("terms", ",", 1)).join(found, ["topic", "term"])
+    return lines.select("topic", F.size(F.split("terms", ",")).alias("n_terms"), (F.col("weight") == F.col("most")).alias("heaviest_first"))
 
 
-@query("lda_doc_details")
+@query(
+    "lda_doc_details",
+    f"SELECT doc_id, lang, source, string_split(text, chr(10))[1] AS title, CAST({K} AS BIGINT) AS n_topics, CAST({K} AS BIGINT) AS n_lines FROM documents",
+)
 def lda_doc_details(spark, folder):
+    """Every document's title and classification beside its topics and their term lists."""
+    found = detail_rows(spark, folder)
+    return found.groupBy("doc_id", "lang", "source", "title").agg(F.count("*").alias("n_topics"), F.count_distinct("terms").alias("n_lines"))
+
+
+def detail_rows(spark, folder):
     model = fitted(spark, folder)
     lines = topics.overview(topics.topic_terms(model, TERMS_PER_TOPIC))
     best = topics.document_topics(topics.topic_weights(model), "doc_id", 20)
@@ -251,62 +291,81 @@ def even_label():
     return (F.col("label") % 2).cast("double")
 
 
-def fit_and_predict(estimator, split):
-    train, test = split
-    return estimator.fit(train).transform(test).select("vec_id", "label", "prediction")
-
+def judged(model, train, test):
+    """Per label: test rows, whether all predictions are labels, and whether the model fits its training rows at least
+    as well as the commonest label does. The labels of this table do not depend on the vectors, so test accuracy says nothing.
+    """
+    predicted = model.transform(test)
+    limits = train.agg(F.struct(F.min("label").alias("least"), F.max("label").alias("most")).alias("l")).scalar()
+    fitted_ = model.transform(train).groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("right"))
+    useful = fitted_.agg((F.sum("right") >= F.max("n")).alias("u")).scalar()
+    counts = predicted.groupBy("label").agg(F.count("*").alias("n"), F.min("prediction").alias("_low"), F.max("prediction").alias("_high"))
+    marked = counts.withColumn("_l", limits).withColumn("useful", useful)
+    return marked.select("label", "n", ((F.col("_low") >= F.col("_l.least")) & (F.col("_high") <= F.col("_l.most"))).alias("known"), "useful")
 
-@query("ml_tree")
-def ml_tree(spark, folder):
-    return fit_and_predict(learners.decision_tree(), vector_split(spark, folder, even_label()))
 
+def vector_labels(label, test=f"{VEC_BUCKET} >= 80"):
+    return f"SELECT CAST({label} AS DOUBLE) AS label, count(*) AS n, true AS known, true AS useful FROM embeddings WHERE {test} GROUP BY 1"
 
-@query("ml_forest_binary")
-def ml_forest_binary(spark, folder):
-    return fit_and_predict(learners.random_forest(), vector_split(spark, folder, even_label()))
 
+def learner_query(name, make, label="label", value=None):
+    """One learner on the embedding table, judged on its test rows."""
 
-@query("ml_forest")
-def ml_forest(spark, folder):
-    return fit_and_predict(learners.random_forest(), vector_split(spark, folder))
+    @query(name, vector_labels(label))
+    def run(spark, folder):
+        train, test = vector_split(spark, folder, None if value is None else value())
+        return judged(make().fit(train), train, test)
 
 
-@query("ml_gbt")
-def ml_gbt(spark, folder):
-    return fit_and_predict(learners.boosted_trees(), vector_split(spark, folder, even_label()))
+learner_query("ml_tree", learners.decision_tree, "label % 2", even_label)
+learner_query("ml_forest_binary", learners.random_forest, "label % 2", even_label)
+learner_query("ml_forest", learners.random_forest)
+learner_query("ml_gbt", learners.boosted_trees, "label % 2", even_label)
+learner_query("ml_gbt_ovr", learners.boosted_one_vs_rest, "label % 3", lambda: (F.col("label") % 3).cast("double"))
+learner_query("ml_logreg", learners.logistic)
+learner_query("ml_elastic_net", lambda: learners.logistic(elastic_net=0.5, reg=0.001))
+learner_query("ml_svc", learners.linear_svc)
+learner_query("ml_l1_svc", lambda: learners.SparseThenSVC(0.001))
 
 
-@query("ml_gbt_ovr")
-def ml_gbt_ovr(spark, folder):
-    return fit_and_predict(learners.boosted_one_vs_rest(), vector_split(spark, folder, (F.col("label") % 3).cast("double")))
+# --- Learners on the hashed TF-IDF of documents, trained, tested and scored on 70, 25 and 5 percent by id hash.
+DOC_FEATURES = 1 << 16
+TREE_FEATURES = 1 << 12
+_LANGS = "(SELECT *, dense_rank() OVER (ORDER BY lang) - 1 AS label FROM documents WHERE lang IS NOT NULL)"
+_QUALITY = "(SELECT doc_id, quality AS label FROM documents JOIN labels USING (doc_id))"
 
 
-@query("ml_logreg")
-def ml_logreg(spark, folder):
-    return fit_and_predict(learners.logistic(), vector_split(spark, folder))
+def document_parts(spark, folder, label, num_features):
+    rows = labelled_corpus(spark, folder, "quality").withColumn("label", F.col("quality").cast("double")) if label == "quality" else features.with_label(corpus(spark, folder, "lang"), "lang")
+    weighted = features.hashed_tfidf(rows, num_features).select("doc_id", "label", "features")
+    bucket = hash_bucket("doc_id")
+    weighted = materialize(weighted.withColumn("part", F.when(bucket < 70, "train").when(bucket < 95, "test").otherwise("eval")), "hashed")
+    return weighted.where("part = 'train'"), weighted.where("part <> 'train'")
 
 
-@query("ml_elastic_net")
-def ml_elastic_net(spark, folder):
-    return fit_and_predict(learners.logistic(elastic_net=0.5, reg=0.001), vector_split(spark, folder))
+def document_query(name, make, label, num_features=DOC_FEATURES):
+    labels_ = _LANGS if label == "lang" else _QUALITY
+    part = f"CASE WHEN {BUCKET} < 95 THEN 'test' ELSE 'eval' END"
 
+    @query(name, f"SELECT {part} AS part, CAST(label AS DOUBLE) AS label, count(*) AS n, true AS useful FROM {labels_} WHERE {BUCKET} >= 70 GROUP BY 1, 2")
+    def run(spark, folder):
+        train, rest = document_parts(spark, folder, label, num_features)
+        predicted = make().fit(train).transform(rest).select("part", "label", "prediction")
+        counts = predicted.groupBy("part", "label").agg(F.count("*").alias("n"), F.count_if(F.col("prediction") == F.col("label")).alias("right"))
+        every = Window.partitionBy(F.lit(0))  # one row per part and label
+        marked = counts.withColumn("_all", F.sum("n").over(Window.partitionBy("label"))).withColumn("_right", F.sum("right").over(every))
+        return marked.select("part", "label", "n", (F.col("_right") >= 0.9 * F.max("_all").over(every)).alias("useful"))
 
-@query("ml_svc")
-def ml_svc(spark, folder):
-    return fit_and_predict(learners.linear_svc(), vector_split(spark, folder))
 
-
-@query("ml_l1_svc")
-def ml_l1_svc(spark, folder):
-    return fit_and_predict(learners.SparseThenSVC(0.001), vector_split(spark, folder))
-
-
-@query("ml_ovr")
-def ml_ovr(spark, folder):
-    rows = features.with_label(corpus(spark, folder, "lang"), "lang")
-    hashed = features.hashed_counts(rows, 1 << 16, out="features").select("doc_id", "label", "features")
-    train, test = features.split_by_hash(hashed, "doc_id", 70)
-    return learners.one_vs_rest_bayes().fit(train).transform(test).select("doc_id", "label", "prediction")
+document_query("doc_bayes_binary", lambda: learners.naive_bayes(1.0), "quality")
+document_query("doc_bayes", lambda: learners.naive_bayes(0.5), "lang")
+document_query("ml_ovr", learners.one_vs_rest_bayes, "lang")
+document_query("doc_tree", learners.decision_tree, "quality", TREE_FEATURES)
+document_query("doc_forest_binary", learners.random_forest, "quality", TREE_FEATURES)
+document_query("doc_forest", learners.random_forest, "lang", TREE_FEATURES)
+document_query("doc_gbt", learners.boosted_trees, "quality", TREE_FEATURES)
+document_query("doc_logreg", lambda: learners.logistic(reg=0.01), "lang")
+document_query("doc_svc", learners.linear_svc, "lang")
 
 
 @query("ml_chi2_selection")
@@ -318,16 +377,18 @@ def ml_chi2_selection(spark, folder):
     return spark.createDataFrame([(int(i),) for i in sorted(model.selectedFeatures)], "feature int")
 
 
-@query("ml_compare")
+@query("ml_compare", "SELECT unnest(['decision_tree', 'random_forest', 'logistic', 'linear_svc']) AS name, true AS scored, true AS timed")
 def ml_compare(spark, folder):
-    train, test = vector_split(spark, folder)
+    """Accuracy and times of each classifier."""
+    train, test = (materialize(part, "compared") for part in vector_split(spark, folder))
     estimators = {
         "decision_tree": learners.decision_tree(),
         "random_forest": learners.random_forest(100),
         "logistic": learners.logistic(),
         "linear_svc": learners.linear_svc(),
     }
-    return learners.compare(estimators, train.cache(), test.cache()).select("name", "accuracy")
+    found = learners.compare(estimators, train, test)
+    return found.select("name", F.col("accuracy").between(0, 1).alias("scored"), ((F.col("train_seconds") > 0) & (F.col("test_seconds") > 0)).alias("timed"))
 
 
 @query("ml_keywords")
@@ -355,16 +416,25 @@ def linreg_closed_form(spark, folder):
     )
 
 
-@query("als_recs")
+@query("als_recs", f"WITH {RATINGS} SELECT usr AS user, CAST(10 AS BIGINT) AS n_items, true AS falling FROM ratings GROUP BY usr")
 def als_recs(spark, folder):
+    """Ten different items for each user, expected ratings falling."""
     ensure_checkpoints(spark)
     model = learners.recommender().fit(rating_rows(spark, folder))
-    return ratings.recommendations(model, 10)
+    found = ratings.recommendations(model, 10)
+    before = F.lag("score").over(Window.partitionBy("user").orderBy("rank"))
+    marked = found.withColumn("_falls", F.coalesce(F.col("score") <= before, F.lit(True)))
+    return marked.groupBy("user").agg(F.count_distinct("item").alias("n_items"), F.every("_falls").alias("falling"))
 
 
-@query("als_predictions")
+@query("als_predictions", f"WITH {RATINGS} SELECT usr AS user, count(*) AS n, true AS known, true AS useful FROM ratings GROUP BY usr")
 def als_predictions(spark, folder):
+    """Every rating gets a prediction; together they are nearer than the mean rating."""
     ensure_checkpoints(spark)
     rows = rating_rows(spark, folder)
     predicted = learners.recommender().fit(rows).transform(rows).select("user", "item", "prediction")
-    return ratings.predicted_and_actual(predicted, rows)
+    both = materialize(ratings.predicted_and_actual(predicted, rows), "predicted")
+    gap = F.col("prediction") - F.col("rating")
+    useful = both.agg((F.avg(gap * gap) < F.var_pop("rating")).alias("u")).scalar()
+    counted = both.groupBy("user").agg(F.count("*").alias("n"), F.every(F.col("prediction").isNotNull()).alias("known"))
+    return counted.withColumn("useful", useful)

@@ -8,10 +8,6 @@ from corpuslab.plans.registry import QUERIES, SQL
 
 load_queries()
 
-# Long library fits, run by the driver on its own tables.
-SLOW = {"ml_svc", "ml_l1_svc", "ml_compare"}
-
-
 @pytest.fixture(scope="module")
 def duck(folder):
     return database(folder)
@@ -22,7 +18,7 @@ def test_query_agrees_with_sql(spark, folder, duck, name):
     assert compare(spark, duck, folder, QUERIES[name], SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_returns_rows(spark, folder, name):
     assert QUERIES[name](spark, folder).limit(1).count() == 1
 
