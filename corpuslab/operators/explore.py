@@ -26,8 +26,8 @@ def concordance(corpus: DataFrame, doc: str, word: str, width: int, tokens: str
     return corpus.select(doc, F.explode(F.transform(hits, around)).alias("_h")).select(doc, "_h.*")
 
 
-def contexts(corpus: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Distinct (term, left, right): a term with its two neighbours; empty at a text's ends."""
+def context_rows(corpus: DataFrame, tokens: str = "tokens", word: str | None = None) -> DataFrame:
+    """term, left, right: a term (or ``word`` alone) with its two neighbours; empty at a text's ends."""
     t = F.col(tokens)
     at = F.transform(
         t,
@@ -37,18 +37,20 @@ def contexts(corpus: DataFrame, tokens: str = "tokens") -> DataFrame:
             F.coalesce(F.get(t, i + 1), F.lit("")).alias("right"),
         ),
     )
-    return corpus.select(F.explode(at).alias("c")).select("c.*").distinct()
+    if word is not None:
+        at = F.filter(at, lambda c: c["term"] == word)
+    return corpus.select(F.explode(at).alias("c")).select("c.*")
 
 
 def similar_words(corpus: DataFrame, word: str, n: int, tokens: str = "tokens") -> DataFrame:
     """Words that share most contexts with ``word``.
 
-    Every context occurs once on the word's side, so the join emits each
-    (term, context) pair at most once however common the context is.
+    The word's own contexts are picked inside the row and come first: only rows
+    with one of them are made distinct.
     """
-    found = contexts(corpus, tokens)
-    own = found.where(F.col("term") == word).select("left", "right")
-    shared = found.where(F.col("term") != word).join(own, ["left", "right"], "left_semi")
+    every = context_rows(corpus, tokens)
+    own = context_rows(corpus, tokens, word).select("left", "right").distinct()
+    shared = every.where(F.col("term") != word).join(own, ["left", "right"], "left_semi").distinct()
     return top_n(shared.groupBy("term").agg(F.count("*").alias("n_shared")), n, F.desc("n_shared"), F.asc("term"))
 
 

@@ -19,11 +19,13 @@ from corpuslab.sources import readers, sheets, writers
 
 @query("file_scan", "SELECT CAST(page_id AS VARCHAR) AS doc_id, md5(html) AS digest FROM pages")
 def file_scan(spark, folder):
-    """One file per page, read back whole; the id is cut from the path."""
+    """Files of a hundred pages at most, read back whole and split into their records."""
     path = new_path(spark, "files")
-    table(spark, folder, "pages").select("page_id", "html").write.partitionBy("page_id").text(path)
-    files = readers.whole_files(spark, f"{path}/*/*.txt", r"page_id=([^/]+)/")
-    return files.select("doc_id", F.md5(F.regexp_replace("text", "\n$", "")).alias("digest"))
+    record = F.concat(F.col("page_id").cast("string"), F.lit("\t"), "html", F.lit(readers.RECORD_END))
+    table(spark, folder, "pages").select(record.alias("value")).write.option("maxRecordsPerFile", 100).text(path)
+    records = readers.whole_records(spark, f"{path}/*.txt")
+    page = F.split("value", "\t", 2)
+    return records.select(page[0].alias("doc_id"), F.md5(page[1]).alias("digest"))
 
 
 @query(
@@ -151,7 +153,7 @@ def meta_record_roundtrip(spark, folder):
     "SELECT 'a' || s_suppkey AS file, 'Study of ' || s_name || ' and more' AS title, 'About ' || s_name AS abstract, 'NAME,' || 'FIELD ' || s_nationkey AS fields FROM supplier",
 )
 def award_files(spark, folder):
-    """One key/value file per award, with a continuation line and coded program names."""
+    """Key/value records, a hundred to a file at most, with a continuation line and coded program names."""
     key = F.col("s_suppkey").cast("string")
     body = F.concat(
         F.lit("Title       : Study of "), "s_name", F.lit("\n        and more\nFile        : a"), key,
@@ -159,21 +161,23 @@ def award_files(spark, folder):
         F.lit("\nAbstract    :\n        About "), "s_name",
     )
     path = new_path(spark, "awards")
-    table(spark, folder, "supplier").select("s_suppkey", body.alias("value")).write.partitionBy("s_suppkey").text(path)
-    return readers.award_records(spark, f"{path}/*/*.txt").drop("path")
+    record = F.concat(body, F.lit(readers.RECORD_END))
+    table(spark, folder, "supplier").select(record.alias("value")).write.option("maxRecordsPerFile", 100).text(path)
+    return readers.award_records(spark, f"{path}/*.txt").drop("path")
 
 
 @query(
     "prepared_reload",
-    f"WITH {DOCS} SELECT md5(array_to_string(tokens, ',')) AS digest, CAST(any_value(len(tokens)) AS BIGINT) AS n_tokens, count(*) AS n_docs FROM docs GROUP BY 1",
+    f"WITH {DOCS} SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(array_to_string(tokens, ',')) AS digest, CAST(len(tokens) AS BIGINT) AS n_tokens FROM docs",
 )
 def prepared_reload(spark, folder):
-    """Comma-joined corpus lines read back as token lists; an empty line is an empty document."""
+    """Comma-joined corpus lines with their ids read back as token lists; nothing after the id is an empty document."""
     path = new_path(spark, "corpus")
-    writers.corpus_text(corpus(spark, folder), path)
-    back = readers.token_lines(readers.text_lines(spark, path))
-    keyed = back.select(F.md5(F.array_join("tokens", ",")).alias("digest"), F.size("tokens").cast("long").alias("n_tokens"))
-    return keyed.groupBy("digest").agg(F.any_value("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"))
+    writers.corpus_text(corpus(spark, folder), path, doc="doc_id")
+    line = F.split("value", "\t", 2)
+    lines = readers.text_lines(spark, path).select(line[0].alias("doc_id"), line[1].alias("value"))
+    back = readers.token_lines(lines)
+    return back.select("doc_id", F.md5(F.array_join("tokens", ",")).alias("digest"), F.size("tokens").cast("long").alias("n_tokens"))
 
 
 @query(

@@ -14,6 +14,8 @@ from corpuslab import schemas
 from corpuslab.functions import text
 from corpuslab.operators.ordering import with_row_index
 
+# Closes a record in a file of several: the record separator control character.
+RECORD_END = "\u001e"
 FILE_STEM = r"([^/]+)\.[^./]+$"
 
 
@@ -29,6 +31,13 @@ def whole_files(spark: SparkSession, paths: str | Sequence[str], id_pattern: str
     return files.select(F.regexp_extract(path, id_pattern, 1).alias("doc_id"), F.col("value").alias("text"))
 
 
+def whole_records(spark: SparkSession, paths: str | Sequence[str], end: str = RECORD_END) -> DataFrame:
+    """value, path: one row per record of files that hold several, each closed by ``end`` and a line break."""
+    files = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    records = files.select(F.explode(F.split("value", f"{end}\n?")).alias("value"), "path")
+    return records.where(F.col("value") != "")
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """value, line: the lines of a file numbered from 0 in file order, across its splits."""
     at = ["_file", "_start", "_row"]
@@ -106,10 +115,8 @@ def token_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def award_records(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Award files of ``Key : value`` lines: file, title, abstract, fields, path."""
-    files = spark.read.text(paths, wholetext=True).select(
-        F.map_from_entries(_last_wins(text.key_values("value"))).alias("kv"), F.col("_metadata.file_path").alias("path")
-    )
+    """Award files of ``Key : value`` lines, one record each or several: file, title, abstract, fields, path."""
+    files = whole_records(spark, paths).select(F.map_from_entries(_last_wins(text.key_values("value"))).alias("kv"), "path")
     return files.select(
         F.col("kv")["File"].alias("file"),
         F.col("kv")["Title"].alias("title"),

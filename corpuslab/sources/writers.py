@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def corpus_text(corpus: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Token lists as comma-joined lines."""
-    corpus.select(F.array_join("tokens", ",").alias("value")).write.mode(mode).text(path)
+def corpus_text(corpus: DataFrame, path: str, mode: str = "errorifexists", doc: str | None = None) -> None:
+    """Token lists as comma-joined lines, after the document's id and a tab if ``doc`` names it."""
+    line = F.array_join("tokens", ",")
+    line = line if doc is None else F.concat(F.col(doc).cast("string"), F.lit("\t"), line)
+    corpus.select(line.alias("value")).write.mode(mode).text(path)
 
 
 def corpus_table(corpus: DataFrame, path: str, mode: str = "errorifexists") -> None:
