@@ -31,7 +31,7 @@ PERCENT = 75
 FIRST = 8  # columns of a row in the first product
 FREQUENT = 50_000  # columns that are put last
 LARGE = 4096  # rows of a column that one task compares
-PIVOT_ROWS = 500
+BLOCK_ROWS = 256  # rows that are compared at one place, twice
 NO_ID = (1 << 63) - 1
 CONST = 0xA0761D6478BD642F
 
@@ -98,59 +98,66 @@ def _pivots(signs: DataFrame, scratch: Scratch) -> DataFrame:
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, name: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets overlap enough.
 
-    A pair is sent to its end with more pairs, whose set stands first in the partition while the others stream past; so
-    no row lists more than about the square root of all pairs. Ends with many pairs are split.
+    Rows that are compared with each other are brought together in blocks: a row is named after the smallest row it is
+    paired with, names with many rows are cut into blocks of BLOCK_ROWS by a hash, and a pair is counted where its two
+    blocks meet. A row's set goes once to each meeting it has a pair in, however many pairs that is.
     """
-    degree = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).groupBy("node").agg(F.count("*").alias("d"))
-    degree = scratch.settle(degree, f"{name}_degree")
-    wide = join_groups(pairs, degree.withColumnRenamed("node", "a").withColumnRenamed("d", "da"), ["a"], "da")
-    wide = join_groups(wide, degree.withColumnRenamed("node", "b").withColumnRenamed("d", "db"), ["b"], "db")
-    a_first = (F.col("da") > F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    aimed = wide.select(
-        F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("pivot"), F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("node"),
-        F.ceil(F.greatest("da", "db") / PIVOT_ROWS).cast("int").alias("parts"),
-    ).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    aimed = scratch.settle(aimed, f"{name}_aimed")
-    members = aimed.groupBy("node").agg(F.collect_list(F.struct("pivot", "part")).alias("to"))
-    heads = aimed.groupBy(F.col("pivot").alias("node")).agg(F.max("parts").alias("parts"))
-    wanted = members.join(heads, "node", "full").join(classes.select("node", "doc", "one", "two"), "node")
+    ways = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    ends = ways.groupBy("node").agg(F.min("other").alias("least"), F.count("*").alias("d"))
+    ends = scratch.settle(ends.select("node", "d", F.least("node", "least").alias("name")), f"{name}_ends")
+    sizes = scratch.settle(ends.groupBy("name").agg(F.count("*").alias("size")), f"{name}_sizes")
+    placed = join_groups(ends, sizes, ["name"], "size")
+    block = F.xxhash64("name", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_ROWS)))
+    placed = scratch.settle(placed.select("node", "d", block.alias("block")), f"{name}_placed")
+    side = lambda end: placed.select(F.col("node").alias(end), F.col("d").alias(f"d{end}"), F.col("block").alias(f"block{end}"))
+    met = join_groups(join_groups(pairs, side("a"), ["a"], "da"), side("b"), ["b"], "db")
+    met = scratch.settle(met.select(F.least("blocka", "blockb").alias("one"), F.greatest("blocka", "blockb").alias("two"), "a", "b"), f"{name}_met")
+    routes = met.select(F.col("a").alias("node"), "one", "two").unionByName(met.select(F.col("b").alias("node"), "one", "two")).distinct()
+    routes = routes.groupBy("node").agg(F.collect_list(F.struct("one", "two")).alias("to"))
+    wanted = routes.join(classes.select("node", "doc", F.col("one").alias("sum")), "node")
     wanted = scratch.settle(wanted, f"{name}_wanted")
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    names = ["pivot", "part", "kind", "node", "grams"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["one", "two", "kind", "a", "b", "grams"]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, one, two, to, parts, text in zip(*[batch.column(n).to_pylist() for n in ("node", "one", "two", "to", "parts", "text")]):
+            for node, total, to, text in zip(*[batch.column(n).to_pylist() for n in ("node", "sum", "to", "text")]):
                 grams = shingles(text, words)
-                if int(grams.sum(dtype=np.uint64).view(np.int64)) != one:
+                if int(grams.sum(dtype=np.uint64).view(np.int64)) != total:
                     continue  # another text under the same id
-                rows = [(node, p, 0, node) for p in range(parts or 0)] + [(t["pivot"], t["part"], 1, node) for t in to or []]
                 raw = grams.tobytes()
-                for at in range(0, len(rows), 256):
-                    some = list(zip(*rows[at : at + 256]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([*some, [raw] * len(some[0])], kinds)], names)
-
-    joined = docs.join(wanted, "doc").select("node", "one", "two", "to", "parts", "text")
-    sets = joined.mapInArrow(fetch, "pivot long, part int, kind int, node long, grams binary")
-    sets = sets.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "kind", "node")
+                for at in range(0, len(to), 64):
+                    some = to[at : at + 64]
+                    n = len(some)
+                    columns = ([t["one"] for t in some], [t["two"] for t in some], [0] * n, [node] * n, [node] * n, [raw] * n)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    # Rows of one id and text come once each and again for each repeat; a meeting keeps one.
+    joined = docs.join(wanted, "doc").select("node", "sum", "to", "text")
+    sets = joined.mapInArrow(fetch, "one long, two long, kind int, a long, b long, grams binary")
+    every = sets.unionByName(met.select("one", "two", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("grams")))
+    every = every.repartition("one", "two").sortWithinPartitions("one", "two", "kind")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivot, head = None, None
+        here, held = None, {}
         for batch in batches:
             found = ([], [])
-            for p, kind, node, raw in zip(batch.column("pivot").to_pylist(), batch.column("kind").to_pylist(), batch.column("node").to_pylist(), batch.column("grams")):
-                grams = np.frombuffer(raw.as_buffer(), np.uint64)
+            keys = zip(*[batch.column(n).to_pylist() for n in ("one", "two", "kind", "a", "b")])
+            for (one, two, kind, a, b), raw in zip(keys, batch.column("grams")):
+                if (one, two) != here:
+                    here, held = (one, two), {}
                 if kind == 0:
-                    pivot, head = p, grams.copy()
-                elif p == pivot:
-                    at = np.searchsorted(head, grams)
-                    common = int((head[np.minimum(at, len(head) - 1)] == grams).sum())
-                    if 100 * common >= percent * (len(head) + len(grams) - common):
-                        found[0].append(min(p, node))
-                        found[1].append(max(p, node))
+                    held[a] = np.frombuffer(raw.as_py(), np.uint64)
+                    continue
+                x, y = sorted((held[a], held[b]), key=len)
+                at = np.searchsorted(y, x)
+                common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+                if 100 * common >= percent * (len(x) + len(y) - common):
+                    found[0].append(a)
+                    found[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
 
-    return scratch.settle(sets.mapInArrow(compare, "a long, b long").distinct(), f"{name}_links")
+    return scratch.settle(every.mapInArrow(compare, "a long, b long").distinct(), f"{name}_links")
 
 
 def _feasible(n1, p1, n2, p2, percent: int):
