@@ -22,7 +22,7 @@ from corpuslab.llm.common import Scratch, join_groups
 from corpuslab.llm.tokens import in_chunks
 from corpuslab.llm.windows import anchors, window_hashes
 
-MAX_RUNS = 1000
+MAX_RUNS = 1 << 14
 TAG_BITS = 20
 NO_ID = -(1 << 63)
 SPANS = "doc long, at long, size long"

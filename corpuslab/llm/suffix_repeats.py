@@ -15,6 +15,7 @@ from corpuslab.llm.windows import byte_units, window_hashes
 
 MIN_BYTES = 100
 GRAM = 24
+BLOCK = 1 << 15
 
 
 def suffix_array(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -23,12 +24,17 @@ def suffix_array(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     Units are at least 1, and a suffix is padded with zeros, so one that ends first sorts before those it begins.
     """
     longest = int((ends - starts).max())
-    places = starts[:, None] + np.arange(longest)
-    table = np.where(places < ends[:, None], text[np.minimum(places, len(text) - 1)], 0).astype(np.uint8)
-    order = np.argsort(np.ascontiguousarray(table).view(f"S{longest}")[:, 0], kind="stable")
-    table = table[order]
-    differ = (table[1:] != table[:-1]) | (table[1:] == 0)
-    return order, np.where(differ.any(axis=1), differ.argmax(axis=1), longest)
+    padded = np.concatenate([text.astype(np.uint8), np.zeros(longest, np.uint8)])
+    table = np.lib.stride_tricks.sliding_window_view(padded, longest)[starts]
+    for at in range(0, len(starts), BLOCK):  # the table is the largest thing a task holds; all else goes in blocks
+        table[at : at + BLOCK][np.arange(longest) >= (ends - starts)[at : at + BLOCK, None]] = 0
+    order = np.argsort(table.view(f"S{longest}")[:, 0], kind="stable")
+    common = np.empty(len(order) - 1, np.int64)
+    for at in range(0, len(common), BLOCK):
+        upper, lower = table[order[at : at + BLOCK + 1][:-1]], table[order[at + 1 : at + BLOCK + 1]]
+        differ = (upper != lower) | (lower == 0)
+        common[at : at + BLOCK] = np.where(differ.any(axis=1), differ.argmax(axis=1), longest)
+    return order, common
 
 
 def prefix_intervals(common: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
