@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from corpuslab.functions import text
 from corpuslab.operators import bayes, learners, quality, terms, topics
 from corpuslab.plans import prepare
-from corpuslab.plans.model_queries import _CENTROID, _VCONF, centroid_scores
+from corpuslab.plans.model_queries import _CENTROID, _CONF, _LABELS, _VCONF, centroid_scores, lang_predictions
 from corpuslab.plans.latent_queries import fitted
 from corpuslab.plans.registry import query
 from corpuslab.plans.tables import DF, DOCS, RATINGS, TF, corpus, documents, rating_rows, table, vectors
@@ -390,6 +390,31 @@ def confusion_csv(spark, folder):
     return readers.csv_with_header(spark, path, counts.schema)
 
 
+@query(
+    "confusion_matrix_csv",
+    f"WITH {_CONF} SELECT label, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (WHERE prediction = '{c}'), 0) AS BIGINT) AS as_{c}" for c in ("de", "en", "es", "fr")) + " FROM c GROUP BY label",
+)
+def confusion_matrix_csv(spark, folder):
+    """The confusion matrix as a file with a column per predicted class."""
+    matrix = quality.confusion_matrix(quality.confusion(lang_predictions(spark, folder)))
+    path = new_path(spark, "matrix")
+    writers.table_csv(matrix, path)
+    return readers.csv_with_header(spark, path, matrix.schema)
+
+
+@query(
+    "label_metrics_csv",
+    f'{_VCONF}{_LABELS} SELECT label, round(pr, 6) AS "precision", round(re, 6) AS recall, round(f1, 6) AS f1 FROM m',
+)
+def label_metrics_csv(spark, folder):
+    """Precision and recall per label as a file."""
+    counts = quality.confusion(bayes.best_class(centroid_scores(spark, folder), "vec_id", "label"))
+    found = quality.label_metrics(counts).select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+    path = new_path(spark, "metrics")
+    writers.table_csv(found, path)
+    return readers.csv_with_header(spark, path, found.schema)
+
+
 @query("docfreq_tsv", f"WITH {DF} SELECT term, df FROM df ORDER BY df DESC, term LIMIT 5000")
 def docfreq_tsv(spark, folder):
     path = new_path(spark, "docfreq")

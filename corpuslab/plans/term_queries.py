@@ -239,6 +239,15 @@ def hashed_term_map(spark, folder):
     )
 
 
+@query("hashed_term_lists", f"WITH {DF} SELECT term, CAST(1 AS BIGINT) AS n_lists, true AS same FROM df")
+def hashed_term_lists(spark, folder):
+    """Each term stands in one feature's list, that of its own feature."""
+    names = terms.document_frequencies(corpus(spark, folder)).select("term")
+    listed = features.terms_by_hash(names, 1 << 14).select(F.explode("terms").alias("term"), F.col("idx").alias("list_idx"))
+    both = listed.join(features.hash_terms(names, 1 << 14), "term")
+    return both.groupBy("term").agg(F.count("*").alias("n_lists"), F.every(F.col("idx") == F.col("list_idx")).alias("same"))
+
+
 @query(
     "hashing_vectorizer",
     f"WITH {DOCS} SELECT doc_id, CASE WHEN len(tokens) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM docs",
