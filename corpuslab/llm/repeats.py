@@ -39,6 +39,7 @@ class Kind:
     width: int
     gram: int
     resolver: Resolver
+    stored: type = np.uint64  # what holds a unit, and 0, between tasks
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -76,7 +77,7 @@ def _fetch(texts: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
                 out = ([], [], [], [])
                 for r in runs:
                     start = r["at"] >> TAG_BITS
-                    for column, value in zip(out, (r["anchor"], r["hot"], r["at"], units[start : start + r["count"] + kind.width].tobytes())):
+                    for column, value in zip(out, (r["anchor"], r["hot"], r["at"], units[start : start + r["count"] + kind.width].astype(kind.stored).tobytes())):
                         column.append(value)
                 kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.binary())
                 columns = [pa.array(c, k) for c, k in zip(out, kinds)]
@@ -104,7 +105,7 @@ def _resolve(runs: DataFrame, kind: Kind) -> DataFrame:
                 if row[0] != last and total >= 1 << 15:  # whole anchors together, some at a time
                     yield out()
                     held, total = [], 0
-                units = np.frombuffer(row[3], np.uint64)
+                units = np.frombuffer(row[3], kind.stored).astype(np.uint64)
                 held.append((row[0], row[1], row[2], units))
                 total += len(units)
                 last = row[0]
@@ -119,7 +120,7 @@ def _hot_windows(runs: DataFrame, scratch: Scratch, kind: Kind) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, at, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                one, two = window_hashes(np.frombuffer(raw, np.uint64)[1:], kind.width)
+                one, two = window_hashes(np.frombuffer(raw, kind.stored)[1:].astype(np.uint64), kind.width)
                 places = at + (np.arange(len(one), dtype=np.int64) << TAG_BITS)
                 yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(np.full(len(one), doc)), pa.array(places)], ["one", "two", "doc", "at"])
 

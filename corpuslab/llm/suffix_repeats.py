@@ -85,7 +85,7 @@ def resolve(runs: list[tuple[int, int, int, np.ndarray]]) -> Iterator[tuple[int,
             yield repeat, doc, at, length, (doc, at) == found[0]
 
 
-KIND = Kind(byte_units, MIN_BYTES, GRAM, resolve)
+KIND = Kind(byte_units, MIN_BYTES, GRAM, resolve, np.uint8)
 
 
 def maximal_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
