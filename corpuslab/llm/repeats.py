@@ -49,23 +49,29 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), tag.alias("tag"), body.alias("text"))
 
 
-def _anchor_rows(texts: DataFrame, kind: Kind) -> DataFrame:
+def _anchor_rows(texts: DataFrame, kind: Kind, left: bool = False) -> DataFrame:
+    """The runs of all texts; with ``left`` also the unit before each, -1 at the start of a text."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts_ = batch.column(2).to_pylist()
             for lo, hi in in_chunks(texts_):
-                for a in anchors([kind.units(t) for t in texts_[lo:hi]], kind.width, kind.gram):
+                units = [kind.units(t) for t in texts_[lo:hi]]
+                for a in anchors(units, kind.width, kind.gram):
                     row = a.row + lo
                     at = (a.low.astype(np.int64) << TAG_BITS) | tags[row]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a.anchor), pa.array(a.slice), pa.array(docs[row]), pa.array(at), pa.array(a.count.astype(np.int32))], ["anchor", "slice", "doc", "at", "count"]
-                    )
+                    columns = [pa.array(a.anchor), pa.array(a.slice), pa.array(docs[row]), pa.array(at), pa.array(a.count.astype(np.int32))]
+                    names = ["anchor", "slice", "doc", "at", "count"]
+                    if left:
+                        before = [int(units[r][x - 1]) if x else -1 for r, x in zip(a.row.tolist(), a.low.tolist())]
+                        columns, names = [*columns, pa.array(before, pa.int64())], [*names, "left"]
+                    yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts.mapInArrow(find, "anchor long, slice long, doc long, at long, count int")
+    return texts.mapInArrow(find, "anchor long, slice long, doc long, at long, count int" + ", left long" * left)
 
 
-def _fetch(texts: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
+def fetch(texts: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
     """anchor, hot, doc, at, units of the wanted runs (anchor, hot, doc, at, count)."""
     tag = F.col("at").bitwiseAND((1 << TAG_BITS) - 1)
     lists = wanted.groupBy("doc", tag.alias("tag")).agg(F.collect_list(F.struct("anchor", "hot", "at", "count")).alias("runs"))
@@ -131,14 +137,20 @@ def _hot_windows(runs: DataFrame, scratch: Scratch, kind: Kind) -> DataFrame:
     return found.select("doc", "at", F.lit(kind.width).cast("long").alias("size"))
 
 
-def repeats(texts: DataFrame, scratch: Scratch, kind: Kind) -> tuple[DataFrame, DataFrame]:
-    """Duplicate spans (doc, at, size), and occurrences of the resolver's repeats (repeat, doc, at, size, first)."""
-    rows = scratch.settle(_anchor_rows(texts, kind), "anchors")
+def repeated_anchors(texts: DataFrame, scratch: Scratch, kind: Kind, left: bool = False) -> DataFrame:
+    """The runs whose anchor occurs more than once, with n and ``several`` (different runs) of the anchor."""
+    rows = scratch.settle(_anchor_rows(texts, kind, left), "anchors")
     seen = rows.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("slice") != F.max("slice")).alias("several")).where("n > 1")
     seen = scratch.settle(seen, "seen")
     found = join_groups(rows, seen, ["anchor"], "n").where("n is not null")
     found = scratch.settle(found, "found")
     scratch.drop("anchors")
+    return found
+
+
+def repeats(texts: DataFrame, scratch: Scratch, kind: Kind) -> tuple[DataFrame, DataFrame]:
+    """Duplicate spans (doc, at, size), and occurrences of the resolver's repeats (repeat, doc, at, size, first)."""
+    found = repeated_anchors(texts, scratch, kind)
     runs = found.groupBy("anchor", "slice").agg(
         F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("copies"), F.first("count").alias("count"), F.first("several").alias("several")
     )
@@ -151,7 +163,7 @@ def repeats(texts: DataFrame, scratch: Scratch, kind: Kind) -> tuple[DataFrame,
     several = runs.where("several").select("anchor", "first.doc", "first.at", "count")
     crowds = scratch.settle(several.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > MAX_RUNS), "crowds")
     marked = join_groups(several, crowds, ["anchor"], "m").withColumn("hot", F.col("m").isNotNull())
-    fetched = scratch.settle(_fetch(texts, marked, kind), "fetched")
+    fetched = scratch.settle(fetch(texts, marked, kind), "fetched")
     groups = scratch.settle(_resolve(fetched.where("not hot"), kind), "groups")
     spans = whole.unionByName(groups.where("not first").select("doc", "at", "size"))
     return spans.unionByName(_hot_windows(fetched.where("hot"), scratch, kind)), groups

@@ -95,6 +95,44 @@ def test_null_id_is_the_smallest(docs, rows):
     assert found[15].n_removed == len(rows[15][1].encode())
 
 
+def brute_maximal(rows):
+    """{(size, occurrences)} by growing every repeated string byte by byte."""
+    texts = {(i, t.encode()) for i, t in rows}
+    places, out, size = [(i, t, p) for i, t in texts for p in range(len(t) - 99)], set(), 100
+    while places:
+        groups = defaultdict(list)
+        for i, t, p in places:
+            if p + size <= len(t):
+                groups[t[p : p + size]].append((i, t, p))
+        groups = [g for g in groups.values() if len(g) > 1]
+        for g in groups:
+            before = {t[p - 1] if p else (i, t) for i, t, p in g}
+            after = {t[p + size] if p + size < len(t) else (i, t) for i, t, p in g}
+            if len(before) > 1 and len(after) > 1:
+                out.add((size, frozenset((i, p) for i, _, p in g)))
+        places, size = [x for g in groups for x in g], size + 1
+    return out
+
+
+def test_maximal_repeats_match_brute_force(spark):
+    rng = random.Random(11)
+    passage, other = sentences(rng, 260), sentences(rng, 120)
+    texts = [f"{sentences(rng, 20)} {passage} {sentences(rng, 20)}" for _ in range(4)]
+    texts += [other, other, other + " " + sentences(rng, 10), passage[300:520] + other[:200], passage, "zé" * 130, "q" * 99, "q" * 230]
+    texts += [f"{k}{passage[k : 150 + 3 * k]}{k}" for k in range(12)]
+    rows = [*enumerate(texts), (50, texts[0]), (50, texts[0])]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, at int")
+    found = defaultdict(list)
+    for r in suffix_repeats.maximal_repeats(table).collect():
+        found[r.repeat, r.size].append((r.doc_id, r.start))
+    truth = brute_maximal(rows)
+    assert max(n for n, _ in truth) > 1000 and max(len(g) for _, g in truth) > 100
+    assert all(len(set(g)) == len(g) for g in found.values())
+    assert len(found) == len(truth) == len({repeat for repeat, _ in found})
+    assert {(size, frozenset(g)) for (_, size), g in found.items()} == truth
+    assert suffix_repeats.maximal_repeats(table.limit(0)).count() == 0
+
+
 def words(t):
     return re.findall(r"[^\x20\x09-\x0D]+", t or "")
 
