@@ -63,11 +63,9 @@ def word_units(text: str | None, lower: bool = False) -> np.ndarray:
     """A 64-bit hash of each word; ``lower`` folds A-Z first."""
     raw = (text or "").encode()
     raw = raw.translate(_LOWER) if lower else raw
-    out = []
-    for at in range(0, max(1, len(raw)), 1 << 20):  # parts of a very long text, cut at word starts
-        if at and not _IS_GAP[raw[at - 1]]:
-            at = _next_gap(raw, at)
-        stop = min(len(raw), (at // (1 << 20) + 1) * (1 << 20))
+    out, stop = [], 0
+    while stop < len(raw):  # parts of a very long text, each from where the one before ends, cut at word starts
+        at, stop = stop, min(len(raw), (stop // (1 << 20) + 1) * (1 << 20))
         if stop < len(raw) and not _IS_GAP[raw[stop - 1]]:
             stop = _next_gap(raw, stop)
         part = raw[at:stop]

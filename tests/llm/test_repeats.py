@@ -183,6 +183,13 @@ def test_word_units_of_a_long_text():
     assert len(units) == 200_000 and len(set(units.tolist())) == 4
 
 
+@pytest.mark.parametrize("head, tail", [("a b ", " c d e"), ("", ""), ("a " * 600_000, " b" * 600_000)])
+def test_word_units_after_a_word_longer_than_a_part(head, tail):
+    text = f"{head}{'x' * (3 << 20)}{tail}"
+    each = {w: windows.word_units(w)[0] for w in set(text.split())}
+    assert windows.word_units(text).tolist() == [each[w] for w in text.split()]
+
+
 def brute_components(rows):
     def grams(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
