@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpuslab.functions.arrays import elements
 from corpuslab.functions.text import hash_bucket
 from corpuslab.operators import categories, features, learners, lsa, ratings, terms, topics
+from corpuslab.operators.joins import join_terms
+from corpuslab.operators.ordering import top_n
 from corpuslab.plans.registry import query
 from corpuslab.plans.tables import BUCKET, DF, RATINGS, TF, VEC_BUCKET, cohort, corpus, labelled_corpus, rating_rows, table, vectors
 from corpuslab.session import ensure_checkpoints, materialize
@@ -368,13 +371,24 @@ document_query("doc_logreg", lambda: learners.logistic(reg=0.01), "lang")
 document_query("doc_svc", learners.linear_svc, "lang")
 
 
+def numbered_terms(rows, value):
+    """(doc_id, label, features) with a feature per term of the whole vocabulary, and the index of the terms."""
+    index = materialize(terms.term_index(terms.document_frequencies(rows)), "term_index")
+    counted = join_terms(terms.term_frequencies(rows, "doc_id", "label"), index, "doc_id", "df")
+    cells = counted.select("doc_id", "label", "term_id", value.alias("v"))
+    return materialize(features.count_vectors(cells, index.count(), "doc_id", "label", value="v"), "term_vectors"), index
+
+
 @query("ml_chi2_selection")
 def ml_chi2_selection(spark, folder):
-    """The chi-squared selector on presence of hashed terms."""
-    rows = features.with_label(corpus(spark, folder, "lang"), "lang")
-    hashed = features.HashingTF(inputCol="tokens", outputCol="features", numFeatures=1 << 10, binary=True).transform(rows)
-    model = learners.best_features(50).fit(hashed)
-    return spark.createDataFrame([(int(i),) for i in sorted(model.selectedFeatures)], "feature int")
+    """The 50 best of the chi-squared test on presence of terms; a feature is a term's number in the whole vocabulary.
+
+    Ranked by the statistic: p-values of a large vocabulary round to 0 for more than 50 terms.
+    """
+    present, _ = numbered_terms(features.with_label(corpus(spark, folder, "lang"), "lang"), F.lit(1.0))
+    tested = ChiSquareTest.test(present, "features", "label", flatten=True)
+    best = top_n(tested, 50, F.desc("statistic"), F.asc("featureIndex"))
+    return best.select(F.col("featureIndex").cast("int").alias("feature"))
 
 
 @query("ml_compare", "SELECT unnest(['decision_tree', 'random_forest', 'logistic', 'linear_svc']) AS name, true AS scored, true AS timed")
@@ -393,11 +407,9 @@ def ml_compare(spark, folder):
 
 @query("ml_keywords")
 def ml_keywords(spark, folder):
-    """Largest coefficients per class of a logistic regression on the 300 most frequent terms, with the model's density."""
-    rows = features.with_label(corpus(spark, folder, "lang"), "lang")
-    index = terms.term_index(terms.top_terms(terms.document_frequencies(rows), 300).select("term"))
-    counted = terms.term_frequencies(rows, "doc_id", "label").join(index, "term").select("doc_id", "label", "term_id", "tf")
-    model = learners.logistic(reg=0.01).fit(features.count_vectors(counted, index.count(), "doc_id", "label"))
+    """Largest coefficients per class of a logistic regression on all terms, with the model's density."""
+    counted, index = numbered_terms(features.with_label(corpus(spark, folder, "lang"), "lang"), F.col("tf"))
+    model = learners.logistic(reg=0.01).fit(counted)
     size, share = learners.density(model)
     found = learners.class_keywords(spark, model, index, 10)
     return found.select("class", "term", F.lit(size).alias("dimensions"), F.lit(share).alias("density"))
