@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslab.llm import ann, exact_dedup, mixing, ngram_join, packing, relative_lz, suffix_repeats, token_file, toxicity, warc
+from corpuslab.llm import ann, collocations, decontaminate, exact_dedup, filter_audit, mixing, ngram_join, packing, relative_lz, suffix_repeats, token_file, toxicity, warc
 from corpuslab.llm.common import Scratch, table, word_count
 from corpuslab.llm.registry import query
 
@@ -126,3 +126,84 @@ def op8_relative_lz(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_ngram_join")
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(table(spark, folder, "documents"))
+
+
+FOLDED_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TEST_WORDS_SQL = rf"list_filter(string_split_regex({FOLDED_SQL}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+LEAK_SQL = f"""
+WITH d AS (SELECT doc_id, {TEST_WORDS_SQL} AS ws FROM documents),
+items AS (SELECT item_id, {TEST_WORDS_SQL} AS ws FROM benchmark),
+sized AS (SELECT *, least(10, len(ws)) AS m FROM items WHERE len(ws) > 0),
+windows AS (SELECT DISTINCT item_id, m, array_to_string(ws[i:i + m - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(ws) - m + 2)) AS i FROM sized)),
+grams AS (SELECT doc_id, m, i, array_to_string(ws[i:i + m - 1], ' ') AS gram
+  FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM sized) WHERE len(ws) >= m)),
+hits AS (SELECT doc_id, i, m, item_id FROM grams JOIN windows USING (m, gram)),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+@query("op11_positional_index", LEAK_SQL)
+def op11_positional_index(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+AUDIT_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, {WORDS_SQL} AS ws FROM documents),
+m AS (SELECT d.doc_id, part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+    100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body), regexp_matches(body, '[#$%&*|]'),
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false)] AS fails FROM d),
+l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM m LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+t AS (SELECT part, filter_order, step, n, good, toxic, filter_order[step] AS x, fails[instr('ABCDE', filter_order[step])] AS here,
+    list_bool_or(list_transform(string_split(filter_order[1:step - 1], ''), lambda y: y <> '' AND fails[instr('ABCDE', y)])) AS before,
+    len(list_filter(fails, lambda y: y)) AS n_fails FROM c, s),
+r AS (SELECT part, filter_order, step, any_value(x) AS x,
+    sum(n) FILTER (NOT here AND NOT before) AS kept, sum(n) FILTER (here AND NOT before) AS removed, sum(n) FILTER (here AND before) AS redundant,
+    sum(n) FILTER (here AND n_fails = 1) AS unique_fails, sum(n) FILTER (here AND NOT before AND good) AS good_lost,
+    sum(n) FILTER (here AND NOT before AND toxic) AS toxic_lost FROM t GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, x), 0) AS BIGINT) AS shapley FROM r
+"""
+
+
+@query("op12_packed_audit", AUDIT_SQL)
+def op12_packed_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+COLLOCATION_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({FOLDED_SQL}, '[.,;:!?
+-]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[ 	]+'), lambda x: x <> '') AS ws FROM p),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 5)) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM g GROUP BY ALL),
+totals AS (SELECT lang, sum(a) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND a >= 30),
+inner_ AS (SELECT lang, a, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, m - k + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS k FROM c WHERE m > 2))),
+most AS (SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN most USING (lang, phrase) WHERE most IS NULL OR 100 * most < 80 * a),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(ws[1:k], ' ') AS p1, array_to_string(ws[k + 1:], ' ') AS p2
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+scored AS (SELECT cuts.*, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * cuts.a // (x.a + y.a) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p1 JOIN f y ON y.lang = cuts.lang AND y.phrase = p2),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM best)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_tiled_collocations", COLLOCATION_SQL)
+def op13_tiled_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
