@@ -20,6 +20,7 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WIDTH = 10  # words of a window
 RUN = 5  # neighbouring windows of a segment; they share WIDTH - RUN + 1 words, among which its rarest are chosen
 BLOCK = 512  # words of a text that meet a candidate at once, so a long text costs no more per candidate than a short one
+LANES = 1 << 17  # rows of 64 bits that tell most documents without candidates; a table of at most that size is sent to all tasks
 NO_ID = (1 << 63) - 1
 HEAD = ""  # stands for the whole document in the postings, with its number of words as place
 
@@ -121,6 +122,16 @@ def _first_gap(marks: Column, otherwise: Column) -> Column:
     return F.when(at == 0, otherwise).otherwise(at - 1)
 
 
+def _likely(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """All ``rows`` whose (doc, body) is in ``wanted``, and few others."""
+    code = F.xxhash64("doc", "body")
+    lane, bit = F.pmod(code, F.lit(LANES)), F.shiftright(code, 40).bitwiseAND(F.lit(63)).cast("int")
+    marks = wanted.select(lane.alias("lane"), F.expr("1L").alias("one"), bit.alias("bit")).selectExpr("lane", "shiftleft(one, bit) AS mark")
+    lanes = marks.groupBy("lane").agg(F.bit_or("mark").alias("marks"))
+    met = rows.withColumn("lane", lane).withColumn("bit", bit).join(F.broadcast(lanes), "lane")
+    return met.where(F.expr("getbit(marks, bit) = 1")).select(*rows.columns)
+
+
 def phrase_spans(docs: DataFrame, index: Index, segments: DataFrame, margin: int, scratch: Scratch, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, body, seg, low, high: stretches [low, high) of a document's words in which windows of the segment stand.
 
@@ -128,8 +139,8 @@ def phrase_spans(docs: DataFrame, index: Index, segments: DataFrame, margin: int
     """
     probes = scratch.settle(_rarest(segments, index), "probes")
     found = _candidates(index, probes, scratch)
-    hit = found.select("doc", "body").distinct()
-    texts = _keyed(docs, key, text).join(hit, ["doc", "body"], "left_semi").select("doc", "body", _slots("text").alias("slots"))
+    hit = scratch.settle(found.select("doc", "body").distinct(), "hit")
+    texts = _likely(_keyed(docs, key, text), hit).join(hit, ["doc", "body"], "left_semi").select("doc", "body", _slots("text").alias("slots"))
     # A block holds the words of its candidates' cores and, on both sides, as many as a segment can have.
     many, slots = F.size("slots"), F.col("slots")
     side = lambda b: F.slice(slots, F.greatest(b * BLOCK - margin, F.lit(0)) + 1, F.lit(BLOCK + 2 * margin))
