@@ -31,6 +31,7 @@ PERCENT = 75
 FIRST = 8  # columns of a row in the first product
 FREQUENT = 50_000  # columns that are put last
 LARGE = 4096  # rows of a column that one task compares
+SUMS = 1 << 21  # meetings of rows a task holds before it adds them up
 BLOCK_ROWS = 256  # rows that are compared at one place, twice
 NO_ID = (1 << 63) - 1
 CONST = 0xA0761D6478BD642F
@@ -194,42 +195,75 @@ def _prefix_rows(texts: DataFrame, frequent: np.ndarray, words: int, percent: in
 
 
 def _cross_pairs(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that meet in a column and can still overlap enough.
+    """Pairs (a, b) of different components that share enough of their first columns to overlap enough.
 
-    The largest component of a column needs no pairs of its own, so its other rows are set against all. Columns with
-    more than LARGE rows do the same as a join in parts.
+    The product adds up, block of columns by block, in how many of their first columns two rows meet. Rows of sizes
+    n1 and n2 can share at most that many columns and, of the others, those of one row (the one whose first columns
+    end earlier in the common order); pairs for which even that is too few are dropped.
+
+    The largest component of a column needs no pairs of its own, so its other rows are set against all. Columns with more
+    than LARGE rows do the same as a join in parts, where the place of the meeting decides as if it were the first one;
+    in the sums such columns count as shared by the rows that have them.
     """
-    names = ["column", "a", "b", "comp", "n", "place"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    names = ["column", "a", "b", "comp", "n", "place", "m", "shared"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: np.ndarray | None = None
         last, spilling = None, False
-        made: set[tuple[int, int]] = set()
-
-        def flush_pairs() -> pa.RecordBatch:
-            a, b = (list(c) for c in zip(*made)) if made else ([], [])
-            none = [None] * len(a)
-            made.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((none, a, b, none, none, none), kinds)], names)
+        met: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def add_up() -> None:
+            nonlocal met, held
+            a, b, n, m, times = (np.concatenate(c) for c in zip(*met))
+            order = np.lexsort((b, a))
+            a, b, n, m, times = a[order], b[order], n[order], m[order], times[order]
+            head = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+            met = [(a[head], b[head], n[head], m[head], np.add.reduceat(times, head))]
+            held = len(head)
+
+        def sums() -> pa.RecordBatch:
+            nonlocal met, held
+            if met:
+                add_up()
+            a, b, n, m, times = met[0] if met else (np.zeros(0, np.int64),) * 5
+            met, held = [], 0
+            none = pa.nulls(len(a), pa.int64())
+            columns = (none, a, b, none, n, none.cast(pa.int32()), m, times)
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds)], names)
 
         def overflow(block: np.ndarray) -> pa.RecordBatch:
-            columns = (block[:, 0], block[:, 1], np.zeros(len(block), np.int64), block[:, 2], block[:, 3].astype(np.int32), block[:, 4].astype(np.int32))
-            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
-            arrays[2] = pa.nulls(len(block), pa.int64())
-            return pa.RecordBatch.from_arrays(arrays, names)
+            none = pa.nulls(len(block), pa.int64())
+            columns = (block[:, 0], block[:, 1], none, block[:, 2], block[:, 3], block[:, 4], none.cast(pa.int32()), none.cast(pa.int32()))
+            return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(columns, kinds)], names)
 
-        def pair(block: np.ndarray) -> None:
+        def pair(block: np.ndarray) -> Iterator[pa.RecordBatch]:
+            nonlocal held
             comps, times = np.unique(block[:, 2], return_counts=True)
             if len(comps) < 2:
                 return
-            minor = block[block[:, 2] != comps[times.argmax()]]
+            other = block[:, 2] != comps[times.argmax()]
+            place = np.where(other, np.cumsum(other) - 1, len(block))  # rows that are not in the largest component, in turn
+            minor = block[other]
             for at in range(0, len(minor), 256):
                 x, y = minor[at : at + 256, None, :], block[None, :, :]
-                ok = (x[..., 2] != y[..., 2]) & _feasible(x[..., 3], x[..., 4], y[..., 3], y[..., 4], percent)
+                # A pair of two such rows comes up from both sides; the row that comes first has it.
+                ok = (x[..., 2] != y[..., 2]) & (place[None, :] > np.arange(at, at + len(x))[:, None])
+                ok &= (100 * x[..., 3] >= percent * y[..., 3]) & (100 * y[..., 3] >= percent * x[..., 3])
                 i, j = np.nonzero(ok)
-                a, b = minor[at + i, 1], block[j, 1]
-                made.update(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
+                if not len(i):
+                    continue
+                one, two = minor[at + i], block[j]
+                swap = one[:, 1] > two[:, 1]
+                a, b = np.where(swap, two[:, 1], one[:, 1]), np.where(swap, one[:, 1], two[:, 1])
+                n, m = np.where(swap, two[:, 3], one[:, 3]), np.where(swap, one[:, 3], two[:, 3])
+                met.append((a, b, n, m, np.ones(len(a), np.int64)))
+                held += len(a)
+                if held > SUMS:
+                    add_up()
+                    if held > SUMS // 2:
+                        yield sums()
 
         for batch in batches:
             data = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in ("column", "node", "comp", "n", "place")], axis=1)
@@ -241,6 +275,7 @@ def _cross_pairs(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
             bounds = [0, *ends.tolist(), len(data)]
             sizes = np.diff(bounds)
             mixed = np.minimum.reduceat(data[:, 2], bounds[:-1]) != np.maximum.reduceat(data[:, 2], bounds[:-1])
+            mixed |= sizes > LARGE
             if spilling:
                 mixed[0] = True
             for k in np.flatnonzero(mixed[:-1]).tolist():
@@ -250,23 +285,29 @@ def _cross_pairs(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
                 elif len(block) > LARGE:
                     yield overflow(block)
                 elif len(block) > 1:
-                    pair(block)
+                    yield from pair(block)
             tail = data[bounds[-2] :]
             if (spilling and tail[0, 0] == last) or len(tail) > LARGE:  # an open column is not held beyond that
                 yield overflow(tail)
                 last, spilling, rest = tail[0, 0], True, None
             else:
                 spilling, rest = False, tail
-            if len(made) > 100_000:
-                yield flush_pairs()
         if rest is not None and len(rest) > 1:
-            pair(rest)
-        yield flush_pairs()
+            yield from pair(rest)
+        yield sums()
 
     dealt = rows.repartition("column").sortWithinPartitions("column")
-    found = dealt.mapInArrow(multiply, "column long, a long, b long, comp long, n int, place int")
+    found = dealt.mapInArrow(multiply, "column long, a long, b long, comp long, n int, place int, m int, shared int")
     found = scratch.settle(found, "product")
     large = found.where("b is null").select("column", F.col("a").alias("node"), "comp", "n", "place")
+    wide = scratch.settle(large.groupBy("node").agg(F.count("*").alias("wide")), "large_nodes")
+    summed = found.where("b is not null").groupBy("a", "b", "n", "m").agg(F.sum("shared").alias("shared"))
+    for end in ("a", "b"):
+        summed = summed.join(wide.select(F.col("node").alias(end), F.col("wide").alias(f"wide_{end}")), end, "left")
+    rest = lambda c: F.col(c).cast("long") - (F.col(c) - F.ceil(F.col(c) * percent / 100) + 1)
+    most = F.col("shared") + F.least(F.coalesce("wide_a", F.lit(0)), F.coalesce("wide_b", F.lit(0))) + F.greatest(rest("n"), rest("m"))
+    enough = scratch.settle(summed.where((100 + percent) * most >= percent * (F.col("n") + F.col("m"))).select("a", "b"), "enough")
+
     per = scratch.settle(large.groupBy("column", "comp").agg(F.count("*").alias("m")), "large_comps")
     main = per.groupBy("column").agg(F.max(F.struct("m", "comp")).alias("main"), F.sum("m").alias("all"), F.count("*").alias("comps")).where("comps > 1")
     main = scratch.settle(main.select("column", F.col("main.comp").alias("main"), "all"), "large_columns")
@@ -276,7 +317,7 @@ def _cross_pairs(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     every = open_.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     met = every.join(minor, ["column", "part"]).where((F.col("comp") != F.col("comp2")) & _feasible(F.col("n").cast("long"), F.col("place"), F.col("n2").cast("long"), F.col("place2"), percent))
     met = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
-    return found.where("b is not null").select("a", "b").unionByName(met).distinct()
+    return enough.unionByName(met).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
