@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslab.llm.common import Scratch
-from corpuslab.llm.tokens import encoder, in_chunks
+from corpuslab.llm.tokens import encoder
 from corpuslab.operators.ordering import running_totals
 
 CAPACITY = 2048
@@ -168,17 +168,16 @@ def pack_lengths(docs: DataFrame, scratch: Scratch, capacity: int = CAPACITY) ->
 
 def token_lengths(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, n_tokens, the CRC-32 of each stretch of ``capacity`` ids, and the ids as little-endian bytes."""
-    end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crcs", pa.list_(pa.int64())), ("ids", pa.binary())])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, step = encoder(tokenizer), 4 * capacity
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi in in_chunks(texts):
-                found = [x + end for x in coder.encode(texts[lo:hi])]
-                crcs = [[zlib.crc32(x[i : i + step]) for i in range(0, len(x), step)] for x in found]
-                columns = [batch.column(0).slice(lo, hi - lo), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(found, pa.binary())]
+            for lo, hi, ids, bounds in coder.encode_column(batch.column(1), end_id):
+                every, cut = memoryview(ids.tobytes()), 4 * bounds
+                crcs = [[zlib.crc32(every[i : min(i + step, b)]) for i in range(a, b, step)] for a, b in zip(cut.tolist(), cut[1:].tolist())]
+                found = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(every)])
+                columns = [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(bounds)), pa.array(crcs, pa.list_(pa.int64())), found]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(encode, "doc_id long, n_tokens long, crcs array<long>, ids binary")

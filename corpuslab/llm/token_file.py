@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from corpuslab.llm.common import Scratch
 from corpuslab.llm.files import Sink
-from corpuslab.llm.tokens import encoder, in_chunks
+from corpuslab.llm.tokens import encoder
 
 MAGIC = b"PFORTOK1"
 BLOCK = 1024
@@ -126,12 +126,12 @@ class _Writer:
     def __init__(self, folder: str, name: str, percentile: float):
         self.sink, self.name, self.percentile = Sink(folder, name), name, percentile
         self.sink.write(MAGIC)
-        self.held: list[bytes] = []
+        self.held: list[bytes | memoryview] = []
         self.held_bytes, self.tokens = 0, 0
         self.starts: list[int] = []
         self.docs: list[tuple[int, bool, int]] = []
 
-    def add(self, doc_id: int | None, raw: bytes) -> None:
+    def add(self, doc_id: int | None, raw: memoryview) -> None:
         self.docs.append((doc_id or 0, doc_id is None, self.tokens))
         self.tokens += len(raw) // 4
         self.held.append(raw)
@@ -175,19 +175,19 @@ def write_tokens(
     spark = docs.sparkSession
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     ordered = ordered.repartitionByRange(F.asc_nulls_first("k")).sortWithinPartitions(F.asc_nulls_first("k"), "t")
-    end = np.array([end_id], "<u4").tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made, done, coder = TaskContext.get().partitionId(), 0, [], encoder(tokenizer)
         writer = None
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo, hi in in_chunks(texts):
-                for doc_id, raw in zip(keys[lo:hi], coder.encode(texts[lo:hi])):
+            keys = batch.column(0).to_pylist()
+            for lo, hi, ids, bounds in coder.encode_column(batch.column(1), end_id):
+                every, cut = memoryview(ids.tobytes()), (4 * bounds).tolist()
+                for doc_id, a, b in zip(keys[lo:hi], cut, cut[1:]):
                     if writer is None:
                         writer = _Writer(f"{folder}/data", f"tokens-{part:06d}-{made:05d}.pfor", percentile)
                         made += 1
-                    writer.add(doc_id, raw + end)
+                    writer.add(doc_id, every[a:b])
                     if writer.tokens >= tokens_per_file:
                         done.append(writer.close())
                         writer = None

@@ -5,10 +5,14 @@ from __future__ import annotations
 import os
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
-CACHED_WORDS = 700_000
-CHUNK = 1 << 20
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+CACHED_BYTES = 96 << 20  # of words and their ids that a worker keeps
+CHUNK = 1 << 22
 
 _BLANKS = bytes.maketrans(b"\t\n\v\f\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz")
 _BLANKS_ONLY = bytes.maketrans(b"\t\n\v\f\r", b"     ")
@@ -17,11 +21,11 @@ _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
 
 
 class WordEncoder:
-    """Token ids of texts, as little-endian unsigned 32-bit bytes.
+    """Token ids of texts, as little-endian unsigned 32-bit numbers.
 
     The vocabulary lower-cases, drops white space and never merges across it, so a text's ids
     are the ids of its words one after the other; each distinct word is encoded once and kept
-    (a bounded number). Words of letters only need no normalising or splitting and take a
+    (up to a number of bytes). Words of letters only need no normalising or splitting and take a
     shorter way through the same library; a stop after a letter is a token run of its own.
     """
 
@@ -34,6 +38,7 @@ class WordEncoder:
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _learn(self, new: set[bytes]) -> None:
         with_stop = [w for w in new if len(w) > 1 and w[-1] in _STOPS and w[-2] in _LETTERS]
@@ -50,27 +55,73 @@ class WordEncoder:
         for w in with_stop:
             self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
 
-    def _pieces(self, text: str | None) -> Iterator[list[bytes]]:
-        raw = (text or "").encode()
-        # Special tokens are matched before lower-casing, so texts with their sign keep their case.
-        raw = raw.translate(_BLANKS_ONLY if b"<|" in raw else _BLANKS)
-        start = 0
-        while start < len(raw):
-            end = raw.find(b" ", start + CHUNK)
-            end = len(raw) if end < 0 else end
-            yield [w for w in raw[start:end].split(b" ") if w]
-            start = end
-
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        split = [list(self._pieces(t)) for t in texts]
-        new = set().union(*[p for pieces in split for p in pieces]).difference(self.known)
+    def _part(self, raw: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of a stretch of bytes in which only blanks separate words, and where those of each row begin.
+
+        Words are told apart by Arrow's dictionary encoding, with the blanks that follow them, so only different ones
+        are touched one by one.
+        """
+        word = raw != 32
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        first[rows[rows < len(raw)]] = word[rows[rows < len(raw)]]
+        start = np.flatnonzero(first)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(rows), np.int64)
+        ends = np.append(start, len(raw))
+        slices = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = [w.rstrip(b" ") for w in slices.dictionary.to_pylist()]
+        new = set(distinct).difference(self.known)
         if new:
             self._learn(new)
-        known = self.known
-        out = [b"".join([known[w] for p in pieces for w in p]) for pieces in split]
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        return out
+        each = [self.known[w] for w in distinct]
+        if new:
+            self.held += sum(2 * len(w) + len(self.known[w]) + 170 for w in new)
+            if self.held > CACHED_BYTES:
+                self.known, self.held = {}, 0
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        flat = np.frombuffer(b"".join(each), "<u4")
+        index = slices.indices.to_numpy()
+        counts = sizes[index]
+        stops = np.cumsum(counts)
+        source = np.repeat((np.cumsum(sizes) - sizes)[index] - (stops - counts), counts) + np.arange(stops[-1])
+        return flat[source], np.append(0, stops)[np.searchsorted(start, rows)]
+
+    def encode_column(self, texts: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, after last row, ids of these rows one after the other, where each row's begin and the last end).
+
+        Every row ends with ``end_id``; a null text is empty. Rows come together up to CHUNK bytes, a longer text alone.
+        """
+        column = pc.fill_null(texts, "").cast(pa.large_string())
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        data = memoryview(column.buffers()[2] or b"")
+        lo = 0
+        while lo < len(texts):
+            hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + CHUNK, "right")) - 1)
+            raw = bytes(data[offsets[lo] : offsets[hi]])
+            at = offsets[lo : hi + 1] - offsets[lo]
+            folded = bytearray(raw.translate(_BLANKS))
+            # Special tokens are matched before lower-casing, so texts with their sign keep their case.
+            sign = raw.find(b"<|")
+            while sign >= 0:
+                row = int(np.searchsorted(at, sign, "right")) - 1
+                a, b = int(at[row]), int(at[row + 1])
+                folded[a:b] = raw[a:b].translate(_BLANKS_ONLY)
+                sign = raw.find(b"<|", b)
+            units = np.frombuffer(folded, np.uint8)
+            if len(units) <= 2 * CHUNK:
+                ids, begins = self._part(units, at[:-1])
+            else:  # one long text, cut at blanks
+                parts, start = [], 0
+                while start < len(units):
+                    stop = folded.find(b" ", start + CHUNK)
+                    stop = len(units) if stop < 0 else stop
+                    parts.append(self._part(units[start:stop], np.zeros(1, np.int64))[0])
+                    start = stop
+                ids, begins = np.concatenate(parts), np.zeros(1, np.int64)
+            bounds = np.append(begins, len(ids))
+            yield lo, hi, np.insert(ids, bounds[1:], end_id).astype("<u4"), bounds + np.arange(hi - lo + 1)
+            lo = hi
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -44,6 +44,29 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_encoder_reads_whole_texts(monkeypatch):
+    """Rows together, long texts in parts, words of any length, and a cache that empties: all as the whole text's ids."""
+    import pyarrow as pa
+
+    from corpuslab.llm import tokens
+
+    rng = np.random.default_rng(3)
+    texts = [t for _, t, _ in TEXTS] + ["x" * 70_000 + " y " + "z" * 9000, " \t lead", "trail \n", "Don't STOP! me. now?", "a<|b A B", "日本語 テキスト É"]
+    texts += ["".join(rng.choice(list("abC .,'é\n<|>1")) for _ in range(rng.integers(0, 400))) for _ in range(200)]
+    texts.append("Some words, again; " * 90_000)  # beyond CHUNK
+    wanted = [plain_ids(t, 7) for t in texts]
+    for chunk, cached in ((tokens.CHUNK, tokens.CACHED_BYTES), (1 << 20, 1000), (64, 1 << 20)):
+        monkeypatch.setattr(tokens, "CHUNK", chunk)
+        monkeypatch.setattr(tokens, "CACHED_BYTES", cached)
+        column = pa.array(["skipped", *texts]).slice(1)
+        found = []
+        for lo, hi, ids, bounds in tokens.WordEncoder(VOCABULARY).encode_column(column, 7):
+            assert lo == len(found) and len(bounds) == hi - lo + 1
+            found += [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+        assert found == wanted
+    assert not list(tokens.WordEncoder(VOCABULARY).encode_column(pa.array([], pa.string()), 7))
+
+
 def read(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
