@@ -29,7 +29,8 @@ from corpuslab.operators.ordering import top_n, top_per_group
 WORDS = 5
 PERCENT = 75
 FIRST = 8  # columns of a row in the first product
-FREQUENT = 50_000  # columns that are put last
+FREQUENT = 400_000  # columns that are put last
+LOCAL = 40_000  # of them that a task proposes, each time it has seen 2 ** 21 cells
 LARGE = 4096  # rows of a column that one task compares
 SUMS = 1 << 21  # meetings of rows a task holds before it adds them up
 BLOCK_ROWS = 256  # rows that are compared at one place, twice
@@ -57,8 +58,8 @@ def _set_rows(docs: DataFrame, words: int) -> DataFrame:
 
         def count() -> None:
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            many = np.flatnonzero(times > 3)
-            many = many[np.argsort(-times[many], kind="stable")[:5000]]
+            many = np.flatnonzero(times > 1)
+            many = many[np.argsort(-times[many], kind="stable")[:LOCAL]]
             frequent.update(dict(zip(values[many].view(np.int64).tolist(), times[many].tolist())))
 
         for batch in batches:
