@@ -6,18 +6,21 @@ import os
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_BYTES = 96 << 20  # of words and their ids that a worker keeps
+CACHED_BYTES = 144 << 20  # of words and their ids that a worker keeps
 CHUNK = 1 << 22
 
 _BLANKS = bytes.maketrans(b"\t\n\v\f\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz")
 _BLANKS_ONLY = bytes.maketrans(b"\t\n\v\f\r", b"     ")
-_STOPS = frozenset(b".,;:!?")
-_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+_KINDS = np.zeros(256, np.uint8)  # 1: blank, 2: stop, 3: letter
+_KINDS[32] = 1
+_KINDS[list(b".,;:!?")] = 2
+_KINDS[97:123] = 3
 
 
 class WordEncoder:
@@ -26,7 +29,7 @@ class WordEncoder:
     The vocabulary lower-cases, drops white space and never merges across it, so a text's ids
     are the ids of its words one after the other; each distinct word is encoded once and kept
     (up to a number of bytes). Words of letters only need no normalising or splitting and take a
-    shorter way through the same library; a stop after a letter is a token run of its own.
+    shorter way through the same library; a stop that ends a word after a letter is a token run of its own.
     """
 
     def __init__(self, path: str):
@@ -41,19 +44,21 @@ class WordEncoder:
         self.held = 0
 
     def _learn(self, new: set[bytes]) -> None:
-        with_stop = [w for w in new if len(w) > 1 and w[-1] in _STOPS and w[-2] in _LETTERS]
-        todo = new.difference(with_stop).union([w[:-1] for w in with_stop], [w[-1:] for w in with_stop])
         plain, rest = [], []
-        for raw in todo.difference(self.known):
+        for raw in new:
+            if raw.isalpha() and raw.islower():  # ASCII
+                plain.append(raw)
+                continue
             word = raw.decode()
-            lower = word.isascii() or (word == word.lower() and unicodedata.is_normalized("NFC", word))
-            (plain if lower and word.isalpha() and word.islower() else rest).append((raw, word))
+            lower = not word.isascii() and word.isalpha() and word.islower() and word == word.lower() and unicodedata.is_normalized("NFC", word)
+            (plain if lower else rest).append(raw)
         for tokenizer, words in ((self.letters, plain), (self.full, rest)):
-            found = tokenizer.encode_batch_fast([w for _, w in words], add_special_tokens=False)
-            for (raw, _), e in zip(words, found):
-                self.known[raw] = array("I", e.ids).tobytes()
-        for w in with_stop:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+            found = [e.ids for e in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            flat, at = array("I", chain.from_iterable(found)).tobytes(), 0
+            for word, ids in zip(words, found):
+                self.known[word] = flat[at : at + 4 * len(ids)]
+                at += 4 * len(ids)
+            self.held += 170 * len(words) + sum(map(len, words)) + len(flat)
 
     def _part(self, raw: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a stretch of bytes in which only blanks separate words, and where those of each row begin.
@@ -61,10 +66,12 @@ class WordEncoder:
         Words are told apart by Arrow's dictionary encoding, with the blanks that follow them, so only different ones
         are touched one by one.
         """
-        word = raw != 32
+        kind = _KINDS[raw]
+        word = kind != 1
         first = word.copy()
         first[1:] &= ~word[:-1]
         first[rows[rows < len(raw)]] = word[rows[rows < len(raw)]]
+        first[1:-1] |= (kind[1:-1] == 2) & (kind[:-2] == 3) & (kind[2:] == 1)  # a stop that ends a word
         start = np.flatnonzero(first)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(rows), np.int64)
@@ -75,10 +82,8 @@ class WordEncoder:
         if new:
             self._learn(new)
         each = [self.known[w] for w in distinct]
-        if new:
-            self.held += sum(2 * len(w) + len(self.known[w]) + 170 for w in new)
-            if self.held > CACHED_BYTES:
-                self.known, self.held = {}, 0
+        if self.held > CACHED_BYTES:
+            self.known, self.held = {}, 0
         sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat = np.frombuffer(b"".join(each), "<u4")
         index = slices.indices.to_numpy()
