@@ -1,22 +1,22 @@
-"""Topic models: fit, describe, relate to documents and classifications."""
+"""Topic models: fit, store, describe, relate to documents and classifications."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.clustering import LDA
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslab.operators import topic_fit
 from corpuslab.operators.categories import composition, share
-from corpuslab.operators.features import classes_of, count_vectors
+from corpuslab.operators.features import classes_of
 from corpuslab.operators.ordering import top_per_group
 from corpuslab.operators.terms import count_triplets, document_frequencies, term_index, top_terms
-from corpuslab.session import ensure_checkpoints, materialize
+from corpuslab.session import materialize
 
 # Cohorts fitted at the same time.
 PARALLEL_FITS = 3
@@ -24,12 +24,17 @@ PARALLEL_FITS = 3
 
 @dataclass
 class Topics:
-    """model: the fitted estimator; terms: term, df, term_id; rows: doc, features."""
+    """A fitted model.
+
+    terms: term, df, term_id, weights (share of each topic's words that are this term); documents: doc, weights (topic
+    shares); perplexity before each exchange of the fit.
+    """
 
-    model: object
     doc: str
+    k: int
     terms: DataFrame
-    rows: DataFrame
+    documents: DataFrame
+    perplexity: list[float]
 
 
 def fit(
@@ -38,42 +43,53 @@ def fit(
     k: int,
     iterations: int,
     seed: int = 7,
-    optimizer: str = "online",
     tokens: str = "tokens",
     num_terms: int | None = None,
+    alpha: float | None = None,
+    beta: float = 0.1,
 ) -> Topics:
-    """Fit on the ``num_terms`` terms of most documents, or on all.
+    """Fit on all terms, or on the ``num_terms`` of most documents.
 
-    The library reads a model back as one topics-by-terms matrix, so ``k`` times
-    ``num_terms`` is the model's size, whatever the number of documents. Term ids
-    and count vectors stay distributed and are written once, since every
-    iteration reads them. ``online`` goes through mini-batches and suits large
-    collections; ``em`` keeps the model on a graph and shuffles it every round.
+    Terms, counts and shares are tables; the driver sees ``k`` totals. Documents without any of the terms, with none at
+    all too, get equal shares of all topics. ``alpha`` (50 / k unless told otherwise) and ``beta`` are the priors.
     """
-    ensure_checkpoints(corpus.sparkSession)
     frequencies = document_frequencies(corpus, tokens)
     if num_terms is not None:
         frequencies = top_terms(frequencies, num_terms)
     terms = materialize(term_index(frequencies), "terms")
     size = terms.count()
-    rows = materialize(count_vectors(count_triplets(corpus, terms, doc, tokens), size, doc), "counts")
-    lda = LDA(k=k, maxIter=iterations, seed=seed, optimizer=optimizer, featuresCol="features")
-    return Topics(lda.fit(rows), doc, terms, rows)
+    alpha = 50.0 / k if alpha is None else alpha
+    cells = materialize(count_triplets(corpus, terms, doc, tokens), "counts")
+    shares, counts, totals, perplexity = topic_fit.fit(cells, doc, k, iterations, size, alpha, beta, seed)
+    weights = F.array(*[(F.get("w", F.lit(i)) + beta) / (float(totals[i]) + size * beta) for i in range(k)])
+    described = terms.join(counts, "term_id").select("term", "df", "term_id", weights.alias("weights"))
+    every = corpus.select(doc).distinct().join(shares, doc, "left")
+    every = every.withColumn("weights", F.coalesce("weights", F.array(*[F.lit(1.0 / k)] * k)))
+    return Topics(doc, k, materialize(described, "described_terms"), materialize(every, "described_documents"), perplexity)
+
+
+def save(topics: Topics, path: str) -> None:
+    """Two tables and their description. The description comes last, so a half-written model is no model."""
+    topics.terms.write.parquet(f"{path}/terms")
+    topics.documents.write.parquet(f"{path}/documents")
+    line = json.dumps({"doc": topics.doc, "k": topics.k, "perplexity": topics.perplexity})
+    topics.terms.sparkSession.range(1).select(F.lit(line).alias("value")).coalesce(1).write.text(f"{path}/description")
+
+
+def load(spark: SparkSession, path: str) -> Topics:
+    told = json.loads(spark.read.text(f"{path}/description").first()[0])
+    return Topics(told["doc"], told["k"], spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/documents"), told["perplexity"])
 
 
 def topic_terms(topics: Topics, n: int) -> DataFrame:
     """topic, term, weight of the ``n`` heaviest terms of each topic (k times n rows)."""
-    described = topics.model.describeTopics(n).select(
-        "topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")
-    )
-    pairs = described.select("topic", F.col("t.termIndices").alias("term_id"), F.col("t.termWeights").alias("weight"))
-    return topics.terms.join(F.broadcast(pairs), "term_id").select("topic", "term", "weight")
+    each = topics.terms.select("term", F.posexplode("weights").alias("topic", "weight"))
+    return top_per_group(each, "topic", n, F.desc("weight"), F.asc("term")).select("topic", "term", "weight")
 
 
 def topic_weights(topics: Topics) -> DataFrame:
     """doc, topic, weight: every document's topic shares."""
-    shares = topics.model.transform(topics.rows).select(topics.doc, vector_to_array("topicDistribution").alias("_w"))
-    return shares.select(topics.doc, F.posexplode("_w").alias("topic", "weight"))
+    return topics.documents.select(topics.doc, F.posexplode("weights").alias("topic", "weight"))
 
 
 def topic_documents(weights: DataFrame, doc: str, n: int) -> DataFrame:

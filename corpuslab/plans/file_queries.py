@@ -459,8 +459,8 @@ def model_store(spark, folder):
     """A saved topic model describes the same topics after loading."""
     model = fitted(spark, folder)
     path = new_path(spark, "model")
-    writers.save_model(model.model, path)
-    loaded = topics.Topics(readers.load_topic_model(path), model.doc, model.terms, model.rows)
+    topics.save(model, path)
+    loaded = topics.load(spark, path)
     before, after = topics.topic_terms(model, 10), topics.topic_terms(loaded, 10).withColumnRenamed("weight", "again")
     both = before.join(after, ["topic", "term"], "full_outer")
     close = F.coalesce(F.abs(F.col("weight") - F.col("again")) < 1e-9, F.lit(False))

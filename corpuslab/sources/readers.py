@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.clustering import DistributedLDAModel, LocalLDAModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,13 +189,6 @@ def predictions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.csv(paths, schema=schemas.PREDICTION)
 
 
-def load_topic_model(path: str):
-    """A saved topic model, distributed (EM) or local (online), as its metadata says."""
-    spark = SparkSession.getActiveSession()
-    kind = spark.read.json(f"{path}/metadata").select("class").first()[0]
-    return (DistributedLDAModel if kind.endswith("DistributedLDAModel") else LocalLDAModel).load(path)
-
-
 def load_or_build(spark: SparkSession, path: str, build) -> DataFrame:
     """The prepared table at ``path``; built and saved first when it is absent."""
     try:
