@@ -27,8 +27,23 @@ _A = (
 )
 
 
+_CONCEPTS: dict[tuple[str, str], lsa.Concepts] = {}
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def state_of(spark, folder) -> tuple[str, str]:
+    """Stands for this application and the present files of the documents: a model of other files is not taken for theirs."""
+    files = table(spark, folder, "documents").select(F.concat_ws("|", "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("file"))
+    digest = files.distinct().agg(F.md5(F.array_join(F.sort_array(F.collect_list("file")), "|"))).first()[0]
+    return spark.sparkContext.applicationId, digest
+
+
 def full_rank(spark, folder):
-    return lsa.fit(corpus(spark, folder), "doc_id", NUM_TERMS, NUM_TERMS)
+    """One model for all searches; its tables lie in the shared folder."""
+    key = state_of(spark, folder)
+    if key not in _CONCEPTS:
+        _CONCEPTS[key] = lsa.fit(corpus(spark, folder), "doc_id", NUM_TERMS, NUM_TERMS)
+    return _CONCEPTS[key]
 
 
 def rounded(found):
@@ -95,17 +110,17 @@ def lsa_reconstruction(spark, folder):
     return total.withColumn("total", F.round("total", 6))
 
 
-LSA_TERMS, LSA_K = 5000, 100
+LSA_K = 100
 
 
 @query(
     "lsa_concepts",
-    f"WITH {TF}, size AS (SELECT least({LSA_K}, count(*) FILTER (df < (SELECT count(*) FROM documents))) AS k FROM (SELECT term, count(*) AS df FROM tf GROUP BY term ORDER BY df DESC, term LIMIT {LSA_TERMS}))"
+    f"WITH {TF}, size AS (SELECT least({LSA_K}, count(*) FILTER (df < (SELECT count(*) FROM documents))) AS k FROM (SELECT term, count(*) AS df FROM tf GROUP BY term))"
     " SELECT CAST(c AS INT) AS concept, CAST(10 AS BIGINT) AS n_terms, CAST(10 AS BIGINT) AS n_docs, 1.0::DOUBLE AS v_length, 1.0::DOUBLE AS u_length, true AS falling FROM size, range(k) r(c)",
 )
 def lsa_concepts(spark, folder):
-    """Every concept has its ten terms and documents, factors of length 1 and a singular value not above the one before."""
-    model = lsa.fit(corpus(spark, folder), "doc_id", LSA_TERMS, LSA_K)
+    """Over the whole vocabulary every concept has its ten terms and documents, factors of length 1 and a singular value not above the one before."""
+    model = lsa.fit(corpus(spark, folder), "doc_id", None, LSA_K)
     by_term = lsa.concept_terms(model, 10).groupBy("concept").agg(F.count("*").alias("n_terms"))
     by_doc = lsa.concept_documents(model, 10).groupBy("concept").agg(F.count("*").alias("n_docs"))
     squares = lambda rows, v: rows.select(F.posexplode(v).alias("concept", "x")).groupBy("concept").agg(F.sum(F.col("x") * F.col("x")).alias("s"))
@@ -120,14 +135,11 @@ def lsa_concepts(spark, folder):
 
 # --- Topic models. Weights depend on the random start, shapes do not.
 K, ITERATIONS, TERMS_PER_TOPIC = 20, 100, 10
-_STORED: dict[tuple[str, str], str] = {}
 
 
 def fitted(spark, folder):
     """One stored model per state of the documents' files and application, shared by all queries about it."""
-    files = table(spark, folder, "documents").select(F.concat_ws("|", "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").alias("file"))
-    state = files.distinct().agg(F.md5(F.array_join(F.sort_array(F.collect_list("file")), "|"))).first()[0]
-    key = (spark.sparkContext.applicationId, state)
+    key = state_of(spark, folder)
     if key not in _STORED:
         path = new_path(spark, "topics")
         topics.save(topics.fit(corpus(spark, folder), "doc_id", K, ITERATIONS), path)
