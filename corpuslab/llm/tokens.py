@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_BYTES = 144 << 20  # of words and their ids that a worker keeps
-CHUNK = 1 << 22
+CACHED_BYTES = 112 << 20  # of words and their ids that a worker keeps
+CHUNK = 1 << 21
 
 _BLANKS = bytes.maketrans(b"\t\n\v\f\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz")
 _BLANKS_ONLY = bytes.maketrans(b"\t\n\v\f\r", b"     ")

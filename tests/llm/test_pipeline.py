@@ -78,3 +78,17 @@ def test_repeated_and_null_rows(spark, folder):
     assert set(counts.values()) == {1} and 900001 in counts and None not in counts
     assert corpus_pipeline.mix_sources(spark, kept, folder).columns == docs.columns
     assert corpus_pipeline.pack(spark, docs.limit(0), folder).count() == 0
+
+
+def test_clashing_columns_stay(spark, folder):
+    """Columns named like those a stage makes keep their values, and the same rows come out."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(30)
+    names = ["_h", "_id", "_k", "_copies", "_copy", "hash", "size", "count", "copies", "kept", "component_id"]
+    odd = docs.selectExpr("*", *[f"concat('{n}', doc_id) AS `{n}`" for n in names])
+    for stage in (corpus_pipeline.drop_exact, corpus_pipeline.drop_near, corpus_pipeline.mix_sources):
+        plain, found = rows(stage(spark, docs, folder)), stage(spark, odd, folder)
+        assert found.columns == odd.columns
+        found = found.collect()
+        assert Counter((r.doc_id, r.text) for r in found) == Counter(plain)
+        assert all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
+        assert stage(spark, odd.limit(0), folder).count() == 0
