@@ -17,8 +17,19 @@ def _text_key():
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def _same(left: DataFrame, right: DataFrame):
-    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left["_h"] == right["_h"])
+def _free(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores before it as it takes to differ from the columns of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def _same(left: DataFrame, right: DataFrame, h: str):
+    return left["doc_id"].eqNullSafe(right["doc_id"]) & (left[h] == right[h])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,17 +39,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id; of rows equal in id and text, one."""
+    """Of equal texts the row with the largest id; of rows equal in id and text, one. Null texts are empty, a null id is
+    the smallest; other columns stay, whatever their names; an empty table stays empty.
+    """
     scratch = Scratch(spark, "stage_exact")
-    keyed = docs.withColumn("_h", _text_key())
-    groups = scratch.settle(exact_dedup.exact_groups(keyed, carry=["_h"]), "groups")
-    gone = groups.where("not kept").select("doc_id", "_h").distinct()
-    rows = groups.where("kept and group_size > 1").groupBy("doc_id", "_h").count()
-    repeated = scratch.settle(rows.where("count > 1").select("doc_id", "_h"), "repeated")
+    (h,) = _free(docs, "_h")
+    keyed = docs.withColumn(h, _text_key())
+    groups = scratch.settle(exact_dedup.exact_groups(keyed, carry=[h]), "groups")
+    gone = groups.where("not kept").select("doc_id", h).distinct()
+    rows = groups.where("kept and group_size > 1").groupBy("doc_id", h).count()
+    repeated = scratch.settle(rows.where("count > 1").select("doc_id", h), "repeated")
     gone = scratch.settle(gone.unionByName(repeated).distinct(), "gone")
-    kept = keyed.join(gone, _same(keyed, gone), "left_anti").drop("_h")
+    kept = keyed.join(gone, _same(keyed, gone, h), "left_anti").drop(h)
     if not repeated.isEmpty():
-        again = keyed.join(repeated, _same(keyed, repeated), "left_semi").dropDuplicates(["doc_id", "_h"]).drop("_h")
+        again = keyed.join(repeated, _same(keyed, repeated, h), "left_semi").dropDuplicates(["doc_id", h]).drop(h)
         kept = kept.unionByName(again)
     return kept
 
@@ -52,15 +66,18 @@ def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
+    """Every document as often as the mix takes it. Null texts have no words; rows equal in id and text count once; other
+    columns stay, whatever their names; an empty table stays empty.
+    """
     scratch = Scratch(spark, "stage_mix")
-    keyed = docs.withColumn("_h", _text_key())
-    sizes = scratch.settle(keyed.select("doc_id", "source", "_h", word_count("text").alias("size")), "sizes")
-    mixed = mixing.mix(sizes, mixing.source_targets(sizes), carry=["_h"])
-    taken = mixed.groupBy("doc_id", "_h").agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    taken = scratch.settle(taken.select(F.col("doc_id").alias("_id"), F.col("_h").alias("_k"), "_copies"), "taken")
-    joined = keyed.join(taken, keyed["doc_id"].eqNullSafe(taken["_id"]) & (keyed["_h"] == taken["_k"]))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    h, i, k, copies, copy = _free(docs, "_h", "_id", "_k", "_copies", "_copy")
+    sizes = scratch.settle(docs.select("doc_id", "source", _text_key().alias("hash"), word_count("text").alias("size")), "sizes")
+    mixed = mixing.mix(sizes, mixing.source_targets(sizes), carry=["hash"])
+    taken = mixed.groupBy("doc_id", "hash").agg(F.max("copies").cast("int").alias(copies)).where(F.col(copies) > 0)
+    taken = scratch.settle(taken.select(F.col("doc_id").alias(i), F.col("hash").alias(k), copies), "taken")
+    keyed = docs.withColumn(h, _text_key())
+    joined = keyed.join(taken, keyed["doc_id"].eqNullSafe(taken[i]) & (keyed[h] == taken[k]))
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
