@@ -1,15 +1,18 @@
 """Substring removal, near duplicates and toxicity against brute force on small awkward tables."""
 
 import hashlib
+import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
 
 import corpuslab.llm.queries  # noqa: F401
 from corpuslab.llm import ngram_join, relative_lz, repeats, suffix_repeats, toxicity, windows
+from corpuslab.llm.common import Scratch
 from corpuslab.llm.registry import QUERIES
 
 
@@ -293,3 +296,25 @@ def test_toxicity_tolerates_inserted_characters(spark, folder):
     none = toxicity.score_all(spark, table, read(spark, folder, "labels").limit(0)).collect()
     assert {r.score for r in none} == {0.0} and len(none) == len(rows)
     assert np.isclose(toxicity.Model(np.zeros(toxicity.FEATURES, np.float32), 0.0).score_words([b"a"]), 0)
+
+
+@pytest.mark.parametrize("sums", [1 << 21, 500])
+def test_product_adds_up_shared_columns(spark, monkeypatch, sums):
+    """Pairs of the product are those whose shared first columns reach the bound; a task may add up in between."""
+    monkeypatch.setattr(ngram_join, "SUMS", sums)
+    draw, rows, first, sizes, comps = random.Random(4), [], {}, {}, {}
+    for node in range(120):
+        n = draw.choice([30, 36, 40])
+        own = sorted(draw.sample(range(20), 12) + draw.sample(range(20 + 100 * node, 120 + 100 * node), n - 12))
+        sizes[node], comps[node] = n, draw.choice([node, 5])
+        first[node] = own[: n - math.ceil(0.75 * n) + 1]
+        rows += [(column, node, comps[node], n, place) for place, column in enumerate(first[node])]
+    table = spark.createDataFrame(rows, "column long, node long, comp long, n int, place int")
+    found = sorted(map(tuple, ngram_join._cross_pairs(table, Scratch(spark, "test_product"), 75).collect()))
+    rest = {node: sizes[node] - len(first[node]) for node in sizes}
+    shared = Counter({(a, b): len(set(first[a]) & set(first[b])) for a, b in combinations(sizes, 2) if comps[a] != comps[b]})
+    wanted = sorted(
+        (a, b) for (a, b), s in shared.items()
+        if s and 175 * (s + max(rest[a], rest[b])) >= 75 * (sizes[a] + sizes[b]) and 100 * sizes[a] >= 75 * sizes[b] and 100 * sizes[b] >= 75 * sizes[a]
+    )
+    assert found == wanted and 0 < len(wanted) < len(shared)
