@@ -440,16 +440,6 @@ def ml_compare(spark, folder):
     return found.select("name", F.col("accuracy").between(0, 1).alias("scored"), ((F.col("train_seconds") > 0) & (F.col("test_seconds") > 0)).alias("timed"))
 
 
-@query("ml_keywords")
-def ml_keywords(spark, folder):
-    """Largest coefficients per class of a logistic regression on all terms, with the model's density."""
-    counted, index = numbered_terms(features.with_label(corpus(spark, folder, "lang"), "lang"), F.col("tf"))
-    model = learners.logistic(reg=0.01).fit(counted)
-    size, share = learners.density(model)
-    found = learners.class_keywords(spark, model, index, 10)
-    return found.select("class", "term", F.lit(size).alias("dimensions"), F.lit(share).alias("density"))
-
-
 @query(
     "linreg_closed_form",
     "SELECT round(regr_slope(l_extendedprice, l_quantity), 2) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 1) AS intercept FROM lineitem",
