@@ -98,19 +98,6 @@ def density(model) -> tuple[int, float]:
     return matrix.size, float((matrix != 0).mean())
 
 
-def class_keywords(spark, model, terms: DataFrame, n: int = 10) -> DataFrame:
-    """class, term, weight of the ``n`` largest coefficients per class.
-
-    ``terms`` maps term to term_id; only classes times n ids leave the model.
-    """
-    matrix = model.coefficientMatrix.toArray()
-    rows = [
-        (c, int(i), float(matrix[c, i])) for c in range(matrix.shape[0]) for i in (-matrix[c]).argsort(kind="stable")[:n]
-    ]
-    best = spark.createDataFrame(rows, "class int, term_id long, weight double")
-    return terms.join(F.broadcast(best), "term_id").select("class", "term", "weight")
-
-
 def compare(estimators: Mapping[str, Estimator], train: DataFrame, test: DataFrame) -> DataFrame:
     """name, accuracy, train_seconds, test_seconds of each estimator."""
     rows = []
