@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["text_queries", "term_queries", "category_queries", "model_queries", "latent_queries", "linear_queries", "file_queries"]
+MODULES = ["text_queries", "term_queries", "category_queries", "model_queries", "latent_queries", "linear_queries", "tree_queries", "file_queries"]
 
 
 def load_queries() -> None:

@@ -359,7 +359,6 @@ learner_query("ml_l1_svc", lambda: learners.SparseThenSVC(0.001))
 # --- Learners on the hashed TF-IDF of documents, trained, tested and scored on 70, 25 and 5 percent by id hash.
 DOC_FEATURES = 1 << 20
 LINEAR_FEATURES = 1 << 16  # a linear model's solver keeps several dense vectors per class
-TREE_FEATURES = 1 << 12  # trees keep statistics of every feature, used or not
 _LANGS = "(SELECT *, dense_rank() OVER (ORDER BY lang) - 1 AS label FROM documents WHERE lang IS NOT NULL)"
 _ENGLISH = "(SELECT doc_id, CAST(lang = 'en' AS INT) AS label FROM documents WHERE lang IS NOT NULL)"
 _QUALITY = "(SELECT doc_id, quality AS label FROM documents JOIN labels USING (doc_id))"
@@ -397,11 +396,6 @@ def document_query(name, make, label, num_features=DOC_FEATURES):
 document_query("doc_bayes_binary", lambda: learners.naive_bayes(1.0), "quality")
 document_query("doc_bayes", lambda: learners.naive_bayes(0.5), "lang")
 document_query("ml_ovr", learners.one_vs_rest_bayes, "lang")
-document_query("doc_tree", learners.decision_tree, "english", TREE_FEATURES)
-document_query("doc_forest_binary", learners.random_forest, "english", TREE_FEATURES)
-document_query("doc_forest", learners.random_forest, "lang", TREE_FEATURES)
-document_query("doc_gbt", learners.boosted_trees, "english", TREE_FEATURES)
-document_query("doc_gbt_ovr", learners.boosted_one_vs_rest, "lang", TREE_FEATURES)
 document_query("doc_logreg", lambda: learners.logistic(reg=0.01), "lang", LINEAR_FEATURES)
 document_query("doc_svc", learners.linear_svc, "lang", LINEAR_FEATURES)
 
