@@ -29,13 +29,19 @@ from corpuslab.operators.ordering import top_n, top_per_group
 WORDS = 5
 PERCENT = 75
 FIRST = 8  # columns of a row in the first product
+PIVOTS = 3  # partners of a row in it
 FREQUENT = 400_000  # columns that are put last
 LOCAL = 40_000  # of them that a task proposes, each time it has seen 2 ** 21 cells
 LARGE = 4096  # rows of a column that one task compares
 SUMS = 1 << 21  # meetings of rows a task holds before it adds them up
 BLOCK_ROWS = 256  # rows that are compared at one place, twice
+PART_CELLS = 1 << 20  # cells of the product's rows that are dealt to one part of the columns, on average
+TASKS = 20_000  # beyond as many parts a task has several, one after the other
+BLOCK_CELLS = 1 << 20  # of them that a task packs together
 NO_ID = (1 << 63) - 1
 CONST = 0xA0761D6478BD642F
+_BLOCK = ["part", "short", "place", "times", "node", "comp", "n"]
+_BLOCK_SCHEMA = "part long, short binary, place binary, times binary, node binary, comp binary, n binary"
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -87,14 +93,20 @@ def _set_rows(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _pivots(signs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each row with the smallest row of its columns: the two of its partners that share most columns."""
-    columns = signs.select("node", F.explode("first").alias("column"))
-    groups = columns.groupBy("column").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-    groups = scratch.settle(groups, "columns")
-    pairs = join_groups(columns, groups, ["column"], "m").where("pivot < node")
-    shared = pairs.groupBy("node", "pivot").agg(F.count("*").alias("shared"))
-    best = top_per_group(shared, "node", 2, F.desc("shared"), F.col("pivot"))
-    return best.select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    """Pairs worth a look before the product: each row with the pivots of its first columns.
+
+    A column's pivot is drawn by a hash of column and row, so the columns of one group of alike rows name different pivots
+    and the pairs tie the group together. Rows that share few of their first columns are left to the product.
+    """
+    columns = signs.select("node", "first", F.explode("first").alias("column"))
+    draw = F.struct(F.xxhash64("column", "node").alias("h"), F.col("node").alias("pivot"), F.col("first").alias("other"))
+    groups = columns.groupBy("column").agg(F.min(draw).alias("p"), F.count("*").alias("m")).where("m > 1")
+    groups = scratch.settle(groups.select("column", "p.pivot", "p.other", "m"), "columns")
+    pairs = join_groups(columns, groups, ["column"], "m").where("pivot <> node").dropDuplicates(["node", "pivot"])
+    shared = F.size(F.array_intersect("first", "other"))
+    alike = 2 * shared >= F.greatest(F.size("first"), F.size("other"))
+    best = top_per_group(pairs.where(alike).select("node", "pivot", shared.alias("shared")), "node", PIVOTS, F.desc("shared"), F.col("pivot"))
+    return best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, name: str, words: int, percent: int) -> DataFrame:
@@ -169,14 +181,14 @@ def _feasible(n1, p1, n2, p2, percent: int):
     return sizes & ((100 + percent) * (n1 - p1) >= need) & ((100 + percent) * (n2 - p2) >= need)
 
 
-def _prefix_rows(texts: DataFrame, frequent: np.ndarray, words: int, percent: int) -> DataFrame:
-    """column, node, comp, n, place of each row's first columns: rare ones first, the frequent ones last."""
+def _prefix_rows(texts: DataFrame, frequent: np.ndarray, words: int, percent: int, parts: int) -> DataFrame:
+    """Blocks of each row's first columns: rare ones first, the frequent ones last; see ``_packed``."""
     by_value = np.argsort(frequent)
     values = frequent[by_value]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = ([], [], [], [], [])
+            out, rows, cells = [], [], 0
             for node, comp, one, text in zip(*[batch.column(n).to_pylist() for n in ("node", "comp", "one", "text")]):
                 grams = shingles(text, words)
                 if int(grams.sum(dtype=np.uint64).view(np.int64)) != one:
@@ -187,21 +199,64 @@ def _prefix_rows(texts: DataFrame, frequent: np.ndarray, words: int, percent: in
                     at = np.minimum(np.searchsorted(values, grams), len(values) - 1)
                     rank = np.where(values[at] == grams, by_value[at] + 1, 0)
                     grams = grams[np.argsort(rank, kind="stable")]
-                for column, value in zip(out, (grams[:take].view(np.int64), np.full(take, node), np.full(take, comp), np.full(take, n), np.arange(take))):
-                    column.append(value)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t)) for c, t in zip(out, (np.int64, np.int64, np.int64, np.int32, np.int32))], ["column", "node", "comp", "n", "place"])
+                out.append(grams[:take])
+                rows.append((node, comp, n))
+                cells += take
+                if cells > BLOCK_CELLS:
+                    yield _packed(out, rows, parts)
+                    out, rows, cells = [], [], 0
+            if out:
+                yield _packed(out, rows, parts)
+
+    return texts.select("node", "comp", "one", "text").mapInArrow(find, _BLOCK_SCHEMA)
 
-    return texts.select("node", "comp", "one", "text").mapInArrow(find, "column long, node long, comp long, n int, place int")
 
+def _packed(columns: list[np.ndarray], rows: list[tuple[int, int, int]], parts: int) -> pa.RecordBatch:
+    """A block per part of the columns: 32 bits of each column and its place, row after row, then the rows themselves.
 
-def _cross_pairs(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    Columns of a part that agree in 32 bits count as one; that can only add to what two rows seem to share.
+    """
+    sizes = [len(c) for c in columns]
+    mixed = np.concatenate(columns)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(CONST)
+    mixed ^= mixed >> np.uint64(32)
+    part = ((mixed >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    order = np.argsort(part, kind="stable")
+    short, part = mixed.astype(np.uint32)[order], part[order]
+    row = np.repeat(np.arange(len(sizes)), sizes)[order]
+    place = np.concatenate([np.arange(n, dtype=np.uint32) for n in sizes])[order]
+    table = np.array(rows, np.int64)
+    ends = np.append(np.flatnonzero(np.diff(part)) + 1, len(part))
+    out: list[list] = [[] for _ in range(7)]
+    lo = 0
+    for hi in ends.tolist():
+        known, times = np.unique(row[lo:hi], return_counts=True)
+        values = (int(part[lo]), short[lo:hi], place[lo:hi], times.astype(np.uint32), *table[known].T)
+        for column, value in zip(out, values):
+            column.append(value if isinstance(value, int) else value.tobytes())
+        lo = hi
+    kinds = [pa.int64()] + [pa.binary()] * 6
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], _BLOCK)
+
+
+def _unpacked(block: dict) -> np.ndarray:
+    """column, node, comp, n, place of a block's cells."""
+    times = np.frombuffer(block["times"], np.uint32)
+    column = (np.int64(block["part"]) << 32) | np.frombuffer(block["short"], np.uint32).astype(np.int64)
+    rows = [np.repeat(np.frombuffer(block[name], np.int64), times) for name in ("node", "comp", "n")]
+    return np.stack([column, *rows, np.frombuffer(block["place"], np.uint32).astype(np.int64)], axis=1)
+
+
+def _cross_pairs(rows: DataFrame, scratch: Scratch, percent: int, parts: int) -> DataFrame:
     """Pairs (a, b) of different components that share enough of their first columns to overlap enough.
 
     The product adds up, block of columns by block, in how many of their first columns two rows meet. Rows of sizes
     n1 and n2 can share at most that many columns and, of the others, those of one row (the one whose first columns
     end earlier in the common order); pairs for which even that is too few are dropped.
 
+    A task holds the cells of one part of the columns; when they are many more than on average, those of columns with more
+    than LARGE rows are handed on at once.
+
     The largest component of a column needs no pairs of its own, so its other rows are set against all. Columns with more
     than LARGE rows do the same as a join in parts, where the place of the meeting decides as if it were the first one;
     in the sums such columns count as shared by the rows that have them.
@@ -210,8 +265,6 @@ def _cross_pairs(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: np.ndarray | None = None
-        last, spilling = None, False
         met: list[tuple[np.ndarray, ...]] = []
         held = 0
 
@@ -266,38 +319,44 @@ def _cross_pairs(rows: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
                     if held > SUMS // 2:
                         yield sums()
 
-        for batch in batches:
-            data = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in ("column", "node", "comp", "n", "place")], axis=1)
-            if rest is not None and len(rest):
-                data = np.concatenate([rest, data])
-            if not len(data):
-                continue
-            ends = np.flatnonzero(np.diff(data[:, 0])) + 1
-            bounds = [0, *ends.tolist(), len(data)]
+        def wide(data: np.ndarray, open_: np.ndarray, all_: bool) -> Iterator[pa.RecordBatch]:
+            """Hand on the cells of columns with more than LARGE rows; ``all_``: and pair the rows of the others."""
+            nonlocal kept, large
+            data = data[np.argsort(data[:, 0], kind="stable")]
+            bounds = np.append(np.flatnonzero(np.append(True, np.diff(data[:, 0]) != 0)), len(data))
             sizes = np.diff(bounds)
-            mixed = np.minimum.reduceat(data[:, 2], bounds[:-1]) != np.maximum.reduceat(data[:, 2], bounds[:-1])
-            mixed |= sizes > LARGE
-            if spilling:
-                mixed[0] = True
-            for k in np.flatnonzero(mixed[:-1]).tolist():
-                block = data[bounds[k] : bounds[k + 1]]
-                if spilling and block[0, 0] == last:
-                    yield overflow(block)
-                elif len(block) > LARGE:
-                    yield overflow(block)
-                elif len(block) > 1:
-                    yield from pair(block)
-            tail = data[bounds[-2] :]
-            if (spilling and tail[0, 0] == last) or len(tail) > LARGE:  # an open column is not held beyond that
-                yield overflow(tail)
-                last, spilling, rest = tail[0, 0], True, None
-            else:
-                spilling, rest = False, tail
-        if rest is not None and len(rest) > 1:
-            yield from pair(rest)
+            over = (sizes > LARGE) | np.isin(data[bounds[:-1], 0], open_)
+            if over.any():
+                large = np.union1d(open_, data[bounds[:-1][over], 0])
+                yield overflow(data[np.repeat(over, sizes)])
+            if not all_:
+                kept = [data[~np.repeat(over, sizes)]]
+                return
+            mixed = ~over & (np.minimum.reduceat(data[:, 2], bounds[:-1]) != np.maximum.reduceat(data[:, 2], bounds[:-1]))
+            for k in np.flatnonzero(mixed).tolist():
+                yield from pair(data[bounds[k] : bounds[k + 1]])
+
+        kept: list[np.ndarray] = []
+        large = np.zeros(0, np.int64)  # columns of this part that were handed on
+        here, size, most = None, 0, 4 * PART_CELLS
+        for batch in batches:
+            for block in batch.to_pylist():
+                if block["part"] != here:
+                    if kept:
+                        yield from wide(np.concatenate(kept), large, True)
+                    here, kept, size, most, large = block["part"], [], 0, 4 * PART_CELLS, np.zeros(0, np.int64)
+                kept.append(_unpacked(block))
+                size += len(kept[-1])
+                if size > most:  # what is left has at most LARGE rows a column
+                    yield from wide(np.concatenate(kept), large, False)
+                    size = len(kept[0])
+                    most = max(most, 2 * size)
+        if kept:
+            yield from wide(np.concatenate(kept), large, True)
         yield sums()
 
-    dealt = rows.repartition("column").sortWithinPartitions("column")
+    tasks = min(parts, TASKS)
+    dealt = rows.repartitionById(tasks, F.pmod("part", F.lit(tasks)).cast("int")).sortWithinPartitions("part")
     found = dealt.mapInArrow(multiply, "column long, a long, b long, comp long, n int, place int, m int, shared int")
     found = scratch.settle(found, "product")
     large = found.where("b is null").select("column", F.col("a").alias("node"), "comp", "n", "place")
@@ -345,8 +404,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     links = _verify(tried, classes, named, scratch, "v1", words, percent)
     joined = scratch.settle(components(links, scratch, "c1"), "joined")
     labelled = classes.join(joined, "node", "left").select("node", "doc", "one", F.coalesce("component", "node").alias("comp"))
-    rows = _prefix_rows(named.join(labelled, "doc"), frequent, words, percent)
-    pairs = _cross_pairs(rows, scratch, percent).join(tried, ["a", "b"], "left_anti")
+    cells = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
+    parts = -(-int(cells) // PART_CELLS) or 1
+    rows = _prefix_rows(named.join(labelled, "doc"), frequent, words, percent, parts)
+    pairs = _cross_pairs(rows, scratch, percent, parts).join(tried, ["a", "b"], "left_anti")
     more = _verify(scratch.settle(pairs, "pairs"), classes, named, scratch, "v2", words, percent)
     final = components(links.unionByName(more), scratch, "c2")
 

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpuslab.llm.queries  # noqa: F401
@@ -298,8 +299,8 @@ def test_toxicity_tolerates_inserted_characters(spark, folder):
     assert np.isclose(toxicity.Model(np.zeros(toxicity.FEATURES, np.float32), 0.0).score_words([b"a"]), 0)
 
 
-@pytest.mark.parametrize("sums", [1 << 21, 500])
-def test_product_adds_up_shared_columns(spark, monkeypatch, sums):
+@pytest.mark.parametrize(("sums", "parts"), [(1 << 21, 1), (500, 7)])
+def test_product_adds_up_shared_columns(spark, monkeypatch, sums, parts):
     """Pairs of the product are those whose shared first columns reach the bound; a task may add up in between."""
     monkeypatch.setattr(ngram_join, "SUMS", sums)
     draw, rows, first, sizes, comps = random.Random(4), [], {}, {}, {}
@@ -308,9 +309,12 @@ def test_product_adds_up_shared_columns(spark, monkeypatch, sums):
         own = sorted(draw.sample(range(20), 12) + draw.sample(range(20 + 100 * node, 120 + 100 * node), n - 12))
         sizes[node], comps[node] = n, draw.choice([node, 5])
         first[node] = own[: n - math.ceil(0.75 * n) + 1]
-        rows += [(column, node, comps[node], n, place) for place, column in enumerate(first[node])]
-    table = spark.createDataFrame(rows, "column long, node long, comp long, n int, place int")
-    found = sorted(map(tuple, ngram_join._cross_pairs(table, Scratch(spark, "test_product"), 75).collect()))
+    blocks = []
+    for lo in range(0, 120, 50):
+        some = range(lo, min(120, lo + 50))
+        blocks.append(ngram_join._packed([np.array(first[i], np.uint64) for i in some], [(i, comps[i], sizes[i]) for i in some], parts))
+    table = spark.createDataFrame(pa.Table.from_batches(blocks))
+    found = sorted(map(tuple, ngram_join._cross_pairs(table, Scratch(spark, "test_product"), 75, parts).collect()))
     rest = {node: sizes[node] - len(first[node]) for node in sizes}
     shared = Counter({(a, b): len(set(first[a]) & set(first[b])) for a, b in combinations(sizes, 2) if comps[a] != comps[b]})
     wanted = sorted(
@@ -318,3 +322,23 @@ def test_product_adds_up_shared_columns(spark, monkeypatch, sums):
         if s and 175 * (s + max(rest[a], rest[b])) >= 75 * (sizes[a] + sizes[b]) and 100 * sizes[a] >= 75 * sizes[b] and 100 * sizes[b] >= 75 * sizes[a]
     )
     assert found == wanted and 0 < len(wanted) < len(shared)
+
+
+def test_product_hands_on_large_columns(spark, monkeypatch):
+    """A part with many more cells than on average keeps none of a column with more than LARGE rows."""
+    monkeypatch.setattr(ngram_join, "LARGE", 5)
+    monkeypatch.setattr(ngram_join, "PART_CELLS", 8)
+    columns = [np.array([1, 100 + k % 40, 1000 + k], np.uint64) for k in range(90)]
+    blocks = [ngram_join._packed(columns[k : k + 9], [(i, i, 9) for i in range(k, k + 9)], 1) for k in range(0, 90, 9)]
+    table = spark.createDataFrame(pa.Table.from_batches(blocks))
+    found = {tuple(r) for r in ngram_join._cross_pairs(table, Scratch(spark, "test_product"), 75, 1).collect()}
+    assert {(i, j) for i, j in combinations(range(90), 2)} == found  # they all meet first in column 1, at place 0
+
+
+def test_packed_cells_come_back():
+    columns = [np.array([5, 9, 1 << 60], np.uint64), np.array([9], np.uint64), np.array([7, 5], np.uint64)]
+    cells = np.concatenate([ngram_join._unpacked(b) for b in ngram_join._packed(columns, [(40, 1, 3), (41, 2, 1), (39, 1, 2)], 3).to_pylist()])
+    assert len(np.unique(cells[:, 0])) == 4
+    assert sorted(map(tuple, cells[:, 1:].tolist())) == [(39, 1, 2, 0), (39, 1, 2, 1), (40, 1, 3, 0), (40, 1, 3, 1), (40, 1, 3, 2), (41, 2, 1, 0)]
+    same = [cells[(cells[:, 1] == node) & (cells[:, 4] == place), 0].item() for node, place in ((40, 1), (41, 0))]
+    assert same[0] == same[1]
