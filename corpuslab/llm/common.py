@@ -12,6 +12,7 @@ from corpuslab.session import new_path
 # White space that separates words; everything else belongs to a word.
 GAP = "[\\x20\\x09-\\x0D]+"
 HOT_GROUPS = 1000
+LANES = 1 << 17  # rows of 64 bits
 
 
 class Scratch:
@@ -75,3 +76,13 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], weight:
     rest = groups.select(*keys, F.lit(0).cast("long").alias("_salt"), value.alias("_rest"))
     found = keyed.join(rest, [*keys, "_salt"], "left").withColumn("_value", F.coalesce("_hot", "_rest"))
     return found.select(*[F.col(c) for c in rows.columns], "_value.*")
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """All ``rows`` whose ``key`` is in ``wanted``, and others with the same mark in a table of 64 * LANES bits."""
+    code = F.xxhash64(key)
+    lane, bit = F.pmod(code, F.lit(LANES)), F.shiftright(code, 40).bitwiseAND(F.lit(63)).cast("int")
+    marks = wanted.select(lane.alias("_lane"), F.expr("1L").alias("_one"), bit.alias("_bit")).selectExpr("_lane", "shiftleft(_one, _bit) AS _mark")
+    lanes = marks.groupBy("_lane").agg(F.bit_or("_mark").alias("_marks"))  # at most LANES rows
+    met = rows.withColumn("_lane", lane).withColumn("_bit", bit).join(F.broadcast(lanes), "_lane")
+    return met.where(F.expr("getbit(_marks, _bit) = 1")).select(*rows.columns)

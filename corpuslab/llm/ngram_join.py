@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslab.llm.common import Scratch, join_groups
+from corpuslab.llm.common import Scratch, join_groups, likely
 from corpuslab.llm.components import components
 from corpuslab.llm.tokens import in_chunks
 from corpuslab.llm.windows import BASES, Rolling, word_units
@@ -146,8 +146,9 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scra
                     columns = ([t["one"] for t in some], [t["two"] for t in some], [0] * n, [node] * n, [node] * n, [raw] * n)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
+    # A bit table keeps texts without a pair out of the shuffle.
     # Rows of one id and text come once each and again for each repeat; a meeting keeps one.
-    joined = docs.join(wanted, "doc").select("node", "sum", "to", "text")
+    joined = likely(docs, wanted, "doc").join(wanted, "doc").select("node", "sum", "to", "text")
     sets = joined.mapInArrow(fetch, "one long, two long, kind int, a long, b long, grams binary")
     every = sets.unionByName(met.select("one", "two", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("grams")))
     every = every.repartition("one", "two").sortWithinPartitions("one", "two", "kind")
