@@ -88,3 +88,23 @@ def test_no_tokens_at_all(spark):
     empty = spark.createDataFrame([(1, []), (2, None)], "doc_id long, tokens array<string>")
     found = topics.fit(empty, "doc_id", 2, 10)
     assert found.terms.count() == 0 and {r.doc_id: r.weights for r in found.documents.collect()} == {1: [0.5, 0.5], 2: [0.5, 0.5]}
+
+
+def test_blocks_grow_with_the_cells():
+    """A term is sent once per block that holds it, so a large corpus must not fall into many small blocks."""
+    assert topic_fit.block_number(0, 20) == topic_fit.block_number(99_000, 20) == 1 and topic_fit.block_number(1_000_000, 20) == 10
+    assert topic_fit.block_number(14_000_000, 20) == 24 and topic_fit.block_number(144_000_000, 20) == 72
+
+
+def test_what_an_exchange_sends(spark):
+    """A block's counts travel as one row per part of the terms; added up by part they are the counts of all its tokens."""
+    rows = [(d, t, 1 + (d + t) % 3) for d in range(12) for t in range(d % 5, 40, 1 + d % 4)]
+    cells = spark.createDataFrame(rows, "doc long, term_id long, tf long")
+    packed = topic_fit._packed(cells, "doc", 3, 7)
+    moving = topic_fit._started(packed, 2, 4).cache()
+    assert moving.count() <= 3 * (4 + 1) and moving.where("part < 0").count() == packed.count()
+    found = {r.term_id: sum(r.w) for r in topic_fit._term_counts(moving, 2, 4).collect()}
+    wanted = {}
+    for _, t, tf in rows:
+        wanted[t] = wanted.get(t, 0) + tf
+    assert found.keys() == wanted.keys() and all(abs(found[t] - wanted[t]) < 1e-4 for t in wanted)
