@@ -244,3 +244,23 @@ def test_learners_beat_the_majority_class(spark):
     assert size == 12 and share == 1.0
     table = learners.compare({"tree": learners.decision_tree()}, data, data).first()
     assert table.name == "tree" and table.accuracy > majority(data) and table.train_seconds > 0
+
+
+def test_rows_of_hot_terms_are_not_shuffled(spark, monkeypatch):
+    """Only rows of rare terms meet the table by term; hot rows and rows without a term get no key to be scattered by."""
+    monkeypatch.setattr(joins, "HOT_TERMS", 4)
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"t{i}") for i in range(400)] + [(9, None)], "doc_id long, term string")
+    table = spark.createDataFrame([("hot", 200, 1.0)] + [(f"t{i}", 1, 2.0) for i in range(0, 300, 2)], "term string, df long, w double")
+    found = joins.join_terms(rows, table, "doc_id", "df", "left")
+    assert "xxhash64" not in found._jdf.queryExecution().toString()
+    assert sorted((r.doc_id, r.w or 0.0) for r in found.collect()) == sorted([(i, 1.0 if i % 2 else 2.0 if i < 300 else 0.0) for i in range(400)] + [(9, 0.0)])
+
+
+def test_knn_tiles_hold_a_few_queries_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    points = rng.normal(size=(90, 5))
+    rows = spark.createDataFrame([(i, p.tolist(), i % 3) for i, p in enumerate(points)], "id long, vec array<double>, label int")
+    queries = rows.where("id < 40").withColumnRenamed("id", "q")
+    whole = sorted(map(tuple, neighbors.knn_join(queries, rows, "q", "id", "vec", 4, "label").collect()))
+    monkeypatch.setattr(neighbors, "TILE_QUERIES", 7)
+    assert sorted(map(tuple, neighbors.knn_join(queries, rows, "q", "id", "vec", 4, "label").collect())) == whole and len(whole) == 160
