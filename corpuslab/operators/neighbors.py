@@ -14,8 +14,10 @@ from corpuslab.operators.features import MAX_CLASSES
 from corpuslab.operators.ordering import top_n, top_per_group
 
 # Rows per block of the blocked nearest-neighbour join: a block of 64-dimensional
-# vectors stays near 2 MB and a tile's score matrix near 128 MB.
+# vectors stays near 2 MB. Scores are found for so many queries of a tile at a time
+# that their matrix stays near 8 MB.
 BLOCK_ROWS = 4096
+TILE_QUERIES = 256
 
 
 def nearest_to(rows: DataFrame, key: str, vector: str, query, n: int) -> DataFrame:
@@ -59,8 +61,8 @@ def knn_join(
 
     Blocked join: both sides are hashed into blocks of about ``block_rows`` rows
     and each pair of blocks is one small group, scored by a matrix product and
-    cut to k rows per query at once. No task sees more than two blocks, and all
-    blocks meet, so the result is exact. ``carry`` is a column kept from ``rows``.
+    cut to k rows per query, a few queries at a time. No task sees more than two blocks,
+    and all blocks meet, so the result is exact. ``carry`` is a column kept from ``rows``.
     """
     n_query = -(-max(queries.count(), 1) // block_rows)
     n_row = -(-max(rows.count(), 1) // block_rows)
@@ -77,22 +79,25 @@ def knn_join(
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"qid": [], "rid": [], "carry": [], "dist2": []})
-        q, r = np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy())
-        ids, carried = b["rid"].to_numpy(), b["carry"].to_numpy()
-        rough = (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2.0 * q @ r.T
-        take = min(k, len(ids))
-        # The product form loses digits in proportion to the squared lengths, wherever the k-th distance lies: keep
-        # everything within that of it, then rank by the differences themselves.
-        limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-        slack = 1e-12 * q.shape[1] * ((q * q).sum(1) + (r * r).sum(1).max())
-        at, near = np.nonzero(rough <= (limit + slack)[:, None])
-        exact = ((r[near] - q[at]) ** 2).sum(1)
-        order = np.lexsort((ids[near], exact, at))
-        at, near, exact = at[order], near[order], exact[order]
-        first = np.r_[0, np.flatnonzero(np.diff(at)) + 1]
-        best = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)])) < take
-        at, near, exact = at[best], near[best], exact[best]
-        return pd.DataFrame({"qid": a["qid"].to_numpy()[at], "rid": ids[near], "carry": carried[near], "dist2": exact})
+        every, r = np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy())
+        query_ids, ids, carried = a["qid"].to_numpy(), b["rid"].to_numpy(), b["carry"].to_numpy()
+        lengths, take, found = (r * r).sum(1), min(k, len(ids)), []
+        for start in range(0, len(every), TILE_QUERIES):
+            q = every[start : start + TILE_QUERIES]
+            rough = (q * q).sum(1)[:, None] + lengths[None, :] - 2.0 * q @ r.T
+            # The product form loses digits in proportion to the squared lengths, wherever the k-th distance lies: keep
+            # everything within that of it, then rank by the differences themselves.
+            limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
+            slack = 1e-12 * q.shape[1] * ((q * q).sum(1) + lengths.max())
+            at, near = np.nonzero(rough <= (limit + slack)[:, None])
+            exact = ((r[near] - q[at]) ** 2).sum(1)
+            order = np.lexsort((ids[near], exact, at))
+            at, near, exact = at[order], near[order], exact[order]
+            first = np.r_[0, np.flatnonzero(np.diff(at)) + 1]
+            best = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)])) < take
+            at, near, exact = at[best], near[best], exact[best]
+            found.append(pd.DataFrame({"qid": query_ids[start + at], "rid": ids[near], "carry": carried[near], "dist2": exact}))
+        return pd.concat(found, ignore_index=True)
 
     types = {"qid": queries.schema[query_key], "rid": rows.schema[key], "carry": rows.schema[carry]}
     schema = ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in types.items()) + ", dist2 double"
