@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslab.operators.joins import likely
 from corpuslab.operators.ordering import top_n
+from corpuslab.session import materialize
 
 
 def concordance(corpus: DataFrame, doc: str, word: str, width: int, tokens: str = "tokens") -> DataFrame:
@@ -45,12 +47,12 @@ def context_rows(corpus: DataFrame, tokens: str = "tokens", word: str | None = N
 def similar_words(corpus: DataFrame, word: str, n: int, tokens: str = "tokens") -> DataFrame:
     """Words that share most contexts with ``word``.
 
-    The word's own contexts are picked inside the row and come first: only rows
-    with one of them are made distinct.
+    The word's own contexts are picked inside the row and written. A bit table of them drops most other rows before
+    anything is shuffled; what is left is made distinct and joined to them.
     """
     every = context_rows(corpus, tokens)
-    own = context_rows(corpus, tokens, word).select("left", "right").distinct()
-    shared = every.where(F.col("term") != word).join(own, ["left", "right"], "left_semi").distinct()
+    own = materialize(context_rows(corpus, tokens, word).select("left", "right").distinct(), "own_contexts")
+    shared = likely(every.where(F.col("term") != word), own, "left", "right").distinct().join(own, ["left", "right"])  # a semi-join would be put before the table
     return top_n(shared.groupBy("term").agg(F.count("*").alias("n_shared")), n, F.desc("n_shared"), F.asc("term"))
 
 

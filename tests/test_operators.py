@@ -118,6 +118,24 @@ def test_concordance_and_similar_words(spark):
     assert [(r.term, r.n_shared) for r in found] == [("Z", 1)]
 
 
+def test_similar_words_drop_other_contexts_before_the_shuffle(spark):
+    texts = [f"A{i} B{i} C{i} D{i}" for i in range(200)] + ["P A Q P Z Q", "P Z Q", "A", "Y"]
+    rows = token_rows(spark, *texts)
+    found = explore.similar_words(rows, "A", 5)
+    assert [(r.term, r.n_shared) for r in found.collect()] == [("Y", 1), ("Z", 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "getbit" in plan and plan.index("Aggregate [term#") < plan.index("getbit") and "LeftSemi" not in plan
+    assert plan.index("getbit") > plan.index("Join Inner, ((left#")  # the root comes first
+
+
+def test_likely_rows_hold_all_wanted_ones(spark):
+    rows = spark.range(5000).select((F.col("id") % 100).alias("x"), F.when(F.col("id") % 7 > 0, F.floor(F.col("id") / 100)).alias("y"))
+    wanted = rows.where("x < 3")
+    found = joins.likely(rows, wanted, "x", "y")
+    assert found.where("x < 3").count() == wanted.count()
+    assert found.count() < wanted.count() + 50
+
+
 def test_top_per_group_limits_before_the_shuffle(spark):
     rows = spark.range(1000).select((F.col("id") % 2).alias("g"), "id")
     found = ordering.top_per_group(rows, "g", 3, F.desc("id"))
@@ -183,6 +201,18 @@ def test_singular_values_match_numpy(spark):
     assert np.allclose([r.us for r in model.docs.orderBy("doc_id").collect()], matrix @ np.array([r.v for r in model.terms.orderBy("term").collect()]), atol=1e-8)
 
 
+def test_concepts_of_few_terms_write_no_other_rows(spark, monkeypatch):
+    """With a bounded number of terms the rows of all other terms are neither written nor shuffled."""
+
+    def never(*_, **__):
+        raise AssertionError("join_terms")
+
+    monkeypatch.setattr(lsa, "join_terms", never)
+    model = lsa.fit(token_rows(spark, "A B C", "A A D", "B D", ""), "doc_id", 2, 2)
+    assert sorted(r.term for r in model.terms.collect()) == ["A", "B"]
+    assert {r.doc_id: sum(map(abs, r.us)) > 0 for r in model.docs.collect()} == {0: True, 1: True, 2: True, 3: False}
+
+
 def test_concepts_fit_without_session_settings(spark):
     """The operators need none of ``build_session``'s settings."""
     name = "spark.sql.execution.arrow.pyspark.enabled"
