@@ -9,6 +9,7 @@ from corpuslab.operators import bayes, curves, features, learners, neighbors, qu
 from corpuslab.operators.ordering import top_per_group
 from corpuslab.plans.registry import query
 from corpuslab.plans.tables import BUCKET, DOCS, RATINGS, VEC_BUCKET, corpus, labelled_corpus, rating_rows, table, vectors
+from corpuslab.session import materialize
 
 # --- SQL of multinomial naive Bayes over labelled documents d(doc_id, label, tokens).
 
@@ -142,7 +143,7 @@ def ml_naive_bayes(spark, folder):
         empty = features.sparse_vector(size, F.array().cast("array<int>"), F.array().cast("array<double>"))
         return filled.withColumn("features", F.coalesce("features", empty))
 
-    model = learners.naive_bayes(0.5).fit(as_vectors(train))
+    model = learners.naive_bayes(0.5).fit(materialize(as_vectors(train), "train_vectors"))  # a fit reads them twice
     scored = model.transform(as_vectors(test)).select("doc_id", F.posexplode(vector_to_array("rawPrediction")).alias("class", "score"))
     return scored.withColumn("score", F.round("score", 3))
 
