@@ -5,9 +5,9 @@ shares one of the first columns of both, in one global order with very frequent
 taken over those columns only, in blocks of columns; sizes and places in the order bound what two rows can still
 share, and pairs below are never made. Exact overlap counts of the rest decide.
 
-Rows that are linked already need no more pairs between them. So a first product over a few columns links each
-row to one partner per column; the full product then only makes pairs between different components. The result is
-the same as that of all pairs.
+Rows that are much alike would all be pairs of each other. So a first product over a few columns ties them into
+groups, whose rows are compared in blocks and give only the links that connect them; the full product then only makes
+pairs between different groups. The result is the same as that of all pairs.
 """
 
 from __future__ import annotations
@@ -34,7 +34,10 @@ FREQUENT = 400_000  # columns that are put last
 LOCAL = 40_000  # of them that a task proposes, each time it has seen 2 ** 21 cells
 LARGE = 4096  # rows of a column that one task compares
 SUMS = 1 << 21  # meetings of rows a task holds before it adds them up
-BLOCK_ROWS = 256  # rows that are compared at one place, twice
+BLOCK_ROWS = 256  # rows of pairs that are compared at one place, twice
+GROUP_ROWS = 2048  # rows of a group that are compared at one place, twice
+GROUP_CELLS = 1 << 19  # shingles of them, on average
+GROUP_BLOCKS = 64  # so many blocks of a group meet each other; a larger group is dealt to several
 PART_CELLS = 1 << 20  # cells of the product's rows that are dealt to one part of the columns, on average
 TASKS = 20_000  # beyond as many parts a task has several, one after the other
 BLOCK_CELLS = 1 << 20  # of them that a task packs together
@@ -93,7 +96,7 @@ def _set_rows(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _pivots(signs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs worth a look before the product: each row with the pivots of its first columns.
+    """Pairs (a, b) that look alike: each row with the pivots of its first columns.
 
     A column's pivot is drawn by a hash of column and row, so the columns of one group of alike rows name different pivots
     and the pairs tie the group together. Rows that share few of their first columns are left to the product.
@@ -109,47 +112,161 @@ def _pivots(signs: DataFrame, scratch: Scratch) -> DataFrame:
     return best.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, name: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets overlap enough.
+def _groups(tried: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, comp, own, to: the group of each row in ``tried``, its block, and the meetings of blocks it takes part in.
 
-    Rows that are compared with each other are brought together in blocks: a row is named after the smallest row it is
-    paired with, names with many rows are cut into blocks of BLOCK_ROWS by a hash, and a pair is counted where its two
-    blocks meet. A row's set goes once to each meeting it has a pair in, however many pairs that is.
+    Groups are what the pairs tie together. One with many rows or shingles is dealt to blocks by a hash, and one with more
+    than GROUP_BLOCKS blocks to several groups of at most as many, so a row goes to a bounded number of meetings.
+    """
+    alike = scratch.settle(components(tried, scratch, "c1").join(classes.select("node", "n"), "node"), "alike")
+    blocks = F.ceil(F.greatest(F.col("size") / GROUP_ROWS, F.least("size", F.col("cells") / GROUP_CELLS)))
+    sizes = alike.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("cells"))
+    sizes = scratch.settle(sizes.select("component", "size", blocks.alias("blocks")), "group_sizes")
+    placed = join_groups(alike.select("node", "component"), sizes, ["component"], "size")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("many", F.ceil(F.col("blocks") / GROUP_BLOCKS))
+    placed = placed.withColumn("group", F.pmod("block", "many"))
+    part = F.xxhash64("component", "group").bitwiseOR(F.lit(-(1 << 63)))  # no node is negative
+    name = lambda block: F.xxhash64("component", block)
+    meeting = lambda other: F.struct(name(F.least("block", other)).alias("one"), name(F.greatest("block", other)).alias("two"))
+    to = F.transform(F.sequence("group", F.col("blocks") - 1, "many"), meeting)
+    found = placed.select("node", F.when(F.col("many") == 1, F.col("component")).otherwise(part).alias("comp"), name(F.col("block")).alias("own"), to.alias("to"))
+    return scratch.settle(found, "groups")
+
+
+def _sets(wanted: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """one, two, kind 0, a, b, grams: the shingles of each row of ``wanted`` (node, own, doc, sum, to) at each of its meetings.
+
+    A bit table keeps texts that are not wanted out of the shuffle. Rows of one id and text come once for each repeat.
     """
-    ways = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    ends = ways.groupBy("node").agg(F.min("other").alias("least"), F.count("*").alias("d"))
-    ends = scratch.settle(ends.select("node", "d", F.least("node", "least").alias("name")), f"{name}_ends")
-    sizes = scratch.settle(ends.groupBy("name").agg(F.count("*").alias("size")), f"{name}_sizes")
-    placed = join_groups(ends, sizes, ["name"], "size")
-    block = F.xxhash64("name", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_ROWS)))
-    placed = scratch.settle(placed.select("node", "d", block.alias("block")), f"{name}_placed")
-    side = lambda end: placed.select(F.col("node").alias(end), F.col("d").alias(f"d{end}"), F.col("block").alias(f"block{end}"))
-    met = join_groups(join_groups(pairs, side("a"), ["a"], "da"), side("b"), ["b"], "db")
-    met = scratch.settle(met.select(F.least("blocka", "blockb").alias("one"), F.greatest("blocka", "blockb").alias("two"), "a", "b"), f"{name}_met")
-    routes = met.select(F.col("a").alias("node"), "one", "two").unionByName(met.select(F.col("b").alias("node"), "one", "two")).distinct()
-    routes = routes.groupBy("node").agg(F.collect_list(F.struct("one", "two")).alias("to"))
-    wanted = routes.join(classes.select("node", "doc", F.col("one").alias("sum")), "node")
-    wanted = scratch.settle(wanted, f"{name}_wanted")
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     names = ["one", "two", "kind", "a", "b", "grams"]
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, total, to, text in zip(*[batch.column(n).to_pylist() for n in ("node", "sum", "to", "text")]):
+            for node, own, total, to, text in zip(*[batch.column(n).to_pylist() for n in ("node", "own", "sum", "to", "text")]):
                 grams = shingles(text, words)
                 if int(grams.sum(dtype=np.uint64).view(np.int64)) != total:
                     continue  # another text under the same id
                 raw = grams.tobytes()
-                for at in range(0, len(to), 64):
-                    some = to[at : at + 64]
+                step = max(1, min(64, (1 << 24) // max(1, len(raw))))
+                for at in range(0, len(to), step):
+                    some = to[at : at + step]
                     n = len(some)
-                    columns = ([t["one"] for t in some], [t["two"] for t in some], [0] * n, [node] * n, [node] * n, [raw] * n)
+                    columns = ([t["one"] for t in some], [t["two"] for t in some], [0] * n, [node] * n, [own] * n, [raw] * n)
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
-    # A bit table keeps texts without a pair out of the shuffle.
-    # Rows of one id and text come once each and again for each repeat; a meeting keeps one.
-    joined = likely(docs, wanted, "doc").join(wanted, "doc").select("node", "sum", "to", "text")
-    sets = joined.mapInArrow(fetch, "one long, two long, kind int, a long, b long, grams binary")
+    joined = likely(docs, wanted, "doc").join(wanted, "doc").select("node", "own", "sum", "to", "text")
+    return joined.mapInArrow(fetch, "one long, two long, kind int, a long, b long, grams binary")
+
+
+def _connect(sets: list[np.ndarray], left: int, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that connect what all links connect: those of the first ``left`` rows to the others, or of all if none is left.
+
+    The overlaps are a product of the row by shingle incidence, a chunk of rows at a time: shingles that many rows
+    have as a dense matrix, the others by their lists of rows.
+    """
+    rows = len(sets)
+    size = np.array([len(s) for s in sets])
+    row = np.repeat(np.arange(rows), size)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times >= max(2, rows / 16)
+    number = np.cumsum(common) - 1
+    cells = common[column]
+    dense = np.zeros((rows, int(common.sum())), np.uint8)
+    dense[row[cells], number[column[cells]]] = 1
+    cells = np.flatnonzero(((times > 1) & ~common)[column])
+    by_column = cells[np.argsort(column[cells], kind="stable")]
+    member, held = row[by_column], column[by_column]
+    many = times[column[cells]]  # cells are in the order of rows
+    begin = np.searchsorted(held, column[cells])
+    first = np.searchsorted(row[cells], np.arange(rows + 1))
+    work = np.append(0, np.cumsum(many))[first]
+    label, links = np.arange(rows), []
+    lo, end = 0, left if left < rows else rows
+    while lo < end:
+        hi = min(end, lo + 256, max(lo + 1, int(np.searchsorted(work, work[lo] + (1 << 21), side="right")) - 1))
+        base = left if left < rows else lo
+        shared = np.zeros((hi - lo, rows - base), np.int64)
+        for at in range(0, dense.shape[1], 4096):
+            x, y = dense[lo:hi, at : at + 4096], dense[base:, at : at + 4096]
+            shared += (x.astype(np.float32) @ y.astype(np.float32).T).astype(np.int64)
+        some = slice(first[lo], first[hi])
+        n = many[some]
+        if len(n):
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[some], n)
+            other, me = member[at], np.repeat(row[cells[some]], n) - lo
+            ahead = other >= base
+            met = np.bincount(me[ahead] * (rows - base) + other[ahead] - base, minlength=shared.size)
+            shared += met.reshape(shared.shape)
+        linked = (100 + percent) * shared >= percent * (size[lo:hi, None] + size[None, base:])
+        linked &= label[lo:hi, None] != label[None, base:]
+        for k in np.flatnonzero(linked.any(axis=1)).tolist():
+            others = base + np.flatnonzero(linked[k])
+            found, which = np.unique(label[others], return_index=True)
+            new = found != label[lo + k]
+            links += [(lo + k, j) for j in others[which[new]].tolist()]
+            label[np.isin(label, found[new])] = label[lo + k]
+        if (label == label[0]).all():
+            break
+        lo = hi
+    return links
+
+
+def _within(groups: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """Links (a, b) that connect the rows of each group that overlap enough: all pairs are compared, fewer links than rows come out.
+
+    Each two blocks of a group meet in a task, and each block with itself.
+    """
+    wanted = groups.select("node", "own", "to").join(classes.select("node", "doc", F.col("one").alias("sum")), "node")
+    wanted = scratch.settle(wanted, "group_rows")
+    every = _sets(wanted, docs, words).drop("kind").repartition("one", "two").sortWithinPartitions("one", "two")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, {}
+
+        def links() -> pa.RecordBatch:
+            nodes = sorted(held, key=lambda node: held[node][0] != here[0])
+            left = sum(held[node][0] == here[0] for node in nodes)
+            pairs = _connect([held[node][1] for node in nodes], left, percent) if len(nodes) > 1 else []
+            ends = [[nodes[p[k]] for p in pairs] for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([pa.array(e, pa.int64()) for e in ends], ["a", "b"])
+
+        for batch in batches:
+            keys = zip(*[batch.column(n).to_pylist() for n in ("one", "two", "a", "b")])
+            for (one, two, node, own), raw in zip(keys, batch.column("grams")):
+                if (one, two) != here:
+                    if held:
+                        yield links()
+                    here, held = (one, two), {}
+                held[node] = (own, np.frombuffer(raw.as_py(), np.uint64))
+        if held:
+            yield links()
+
+    return scratch.settle(every.mapInArrow(compare, "a long, b long"), "group_links")
+
+
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets overlap enough.
+
+    Rows that are compared with each other are brought together in blocks: a row is named after the smallest row it is
+    paired with, names with many rows are cut into blocks of BLOCK_ROWS by a hash, and a pair is counted where its two
+    blocks meet. A row's set goes once to each meeting it has a pair in, however many pairs that is.
+    """
+    ways = pairs.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    ends = ways.groupBy("node").agg(F.min("other").alias("least"), F.count("*").alias("d"))
+    ends = scratch.settle(ends.select("node", "d", F.least("node", "least").alias("name")), "ends")
+    sizes = scratch.settle(ends.groupBy("name").agg(F.count("*").alias("size")), "sizes")
+    placed = join_groups(ends, sizes, ["name"], "size")
+    block = F.xxhash64("name", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / BLOCK_ROWS)))
+    placed = scratch.settle(placed.select("node", "d", block.alias("block")), "placed")
+    side = lambda end: placed.select(F.col("node").alias(end), F.col("d").alias(f"d{end}"), F.col("block").alias(f"block{end}"))
+    met = join_groups(join_groups(pairs, side("a"), ["a"], "da"), side("b"), ["b"], "db")
+    met = scratch.settle(met.select(F.least("blocka", "blockb").alias("one"), F.greatest("blocka", "blockb").alias("two"), "a", "b"), "met")
+    routes = met.select(F.col("a").alias("node"), "one", "two").unionByName(met.select(F.col("b").alias("node"), "one", "two")).distinct()
+    routes = routes.groupBy("node").agg(F.collect_list(F.struct("one", "two")).alias("to"))
+    wanted = routes.join(classes.select("node", F.col("node").alias("own"), "doc", F.col("one").alias("sum")), "node")
+    wanted = scratch.settle(wanted, "wanted")
+    sets = _sets(wanted, docs, words)
     every = sets.unionByName(met.select("one", "two", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("grams")))
     every = every.repartition("one", "two").sortWithinPartitions("one", "two", "kind")
 
@@ -172,7 +289,7 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scra
                     found[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
 
-    return scratch.settle(every.mapInArrow(compare, "a long, b long").distinct(), f"{name}_links")
+    return scratch.settle(every.mapInArrow(compare, "a long, b long").distinct(), "links")
 
 
 def _feasible(n1, p1, n2, p2, percent: int):
@@ -402,14 +519,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     classes = scratch.settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     tried = scratch.settle(_pivots(classes.select("node", "first"), scratch), "tried")
-    links = _verify(tried, classes, named, scratch, "v1", words, percent)
-    joined = scratch.settle(components(links, scratch, "c1"), "joined")
-    labelled = classes.join(joined, "node", "left").select("node", "doc", "one", F.coalesce("component", "node").alias("comp"))
+    groups = _groups(tried, classes, scratch)
+    links = _within(groups, classes, named, scratch, words, percent)
+    labelled = classes.join(groups.select("node", "comp"), "node", "left").select("node", "doc", "one", F.coalesce("comp", "node").alias("comp"))
     cells = classes.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
     parts = -(-int(cells) // PART_CELLS) or 1
     rows = _prefix_rows(named.join(labelled, "doc"), frequent, words, percent, parts)
-    pairs = _cross_pairs(rows, scratch, percent, parts).join(tried, ["a", "b"], "left_anti")
-    more = _verify(scratch.settle(pairs, "pairs"), classes, named, scratch, "v2", words, percent)
+    pairs = scratch.settle(_cross_pairs(rows, scratch, percent, parts), "pairs")
+    more = _verify(pairs, classes, named, scratch, words, percent)
     final = components(links.unionByName(more), scratch, "c2")
 
     named_classes = classes.join(final, "node", "left").select("one", "two", "n", "copies", "doc", F.coalesce("component", "node").alias("component"))

@@ -246,6 +246,67 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch, large):
     assert ngram_join.near_duplicates(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("rows", "blocks"), [(40, 64), (40, 2), (7, 3)])
+def test_groups_in_blocks_match_brute_force(spark, monkeypatch, rows, blocks):
+    """Groups that are cut into blocks, and those with too many blocks, lose no link."""
+    monkeypatch.setattr(ngram_join, "GROUP_ROWS", rows)
+    monkeypatch.setattr(ngram_join, "GROUP_BLOCKS", blocks)
+    some = near_rows(rows, 250)
+    table = spark.createDataFrame(some, "doc_id long, text string")
+    found = [tuple(r) for r in ngram_join.near_duplicates(table).collect()]
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    assert sorted(found, key=key) == sorted(brute_components(some), key=key)
+
+
+def test_alike_rows_below_the_threshold_make_few_pairs(spark, monkeypatch):
+    """A group of rows that are nearly, but not quite, linked gives fewer rows than its square."""
+    made = []
+    product = ngram_join._cross_pairs
+
+    def counted(*args):
+        pairs = product(*args).localCheckpoint()
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_cross_pairs", counted)
+    draw, rows = random.Random(8), []
+    for i in range(150):
+        text = [f"w{k}" for k in range(100)]
+        for k in draw.sample(range(100), 3):
+            text[k] = f"new{i}x{k}"
+        rows.append((i, " ".join(text)))
+    found = [tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(found) == sorted(brute_components(rows))
+    assert len({r[2] for r in found}) > 20 and made[0] < 150
+
+
+def test_connect_matches_brute_force():
+    """The links of a block connect what all links connect, with fewer links than rows; with ``left``, only across."""
+    draw = np.random.default_rng(2)
+    for trial in range(12):
+        n = int(draw.integers(2, 400))
+        base, sets = draw.integers(0, 1 << 60, (3, 90), dtype=np.uint64), []
+        for _ in range(n):
+            one, k = base[draw.integers(0, 3)].copy(), int(draw.integers(0, 30))
+            one[draw.integers(0, 90, k)] = draw.integers(0, (1 << 60, 400)[trial % 2], k, dtype=np.uint64)
+            sets.append(np.unique(one))
+        left = n if trial % 3 else int(draw.integers(1, n))
+        links = {tuple(sorted(p)) for p in ngram_join._connect(sets, left, 75)}
+        wanted = set()
+        for i, j in combinations(range(n), 2):
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if (left == n or i < left <= j) and 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                wanted.add((i, j))
+        tops = []
+        for some in (links, wanted):
+            top = list(range(n))
+            for i, j in sorted(some):
+                a, b = top[i], top[j]
+                top = [min(a, b) if t in (a, b) else t for t in top]
+            tops.append(top)
+        assert links <= wanted and tops[0] == tops[1] and len(links) < n
+
+
 def test_near_duplicate_query_matches_brute_force(spark, folder):
     table = [(r.doc_id, r.text) for r in read(spark, folder, "documents").collect()]
     found = [(r.doc_id, r.n_shingles, r.component_id) for r in QUERIES["op7_ngram_join"](spark, folder).collect()]
