@@ -13,6 +13,7 @@ from corpuslab.functions.arrays import elements
 from corpuslab.functions.text import hash_bucket
 from corpuslab.functions.vectors import sparse_vector
 from corpuslab.operators.ordering import with_row_index
+from corpuslab.session import materialize
 
 # More classes than this are no classification, but an id column by mistake.
 MAX_CLASSES = 1000
@@ -132,6 +133,40 @@ def chi2(corpus: DataFrame, label: str, tokens: str = "tokens") -> DataFrame:
     return counts.select("term", F.aggregate(parts, F.lit(0.0), lambda a, x: a + x).alias("chi2"))
 
 
+def presence_test(corpus: DataFrame, doc: str, label: str, tokens: str = "tokens") -> DataFrame:
+    """term, statistic: the library's chi-squared test of a term's presence against the label, in its order of additions.
+
+    A document is one (doc, label) with tokens; rows that repeat it add their terms to it, each once (the library refuses
+    such vectors). Terms are counted per label before they meet, so a term is a row with its labels and no vectors are
+    built. A term that no document lacks, or a single label, gives 0. Only the documents per label, one row, are sent to the
+    tasks.
+    """
+    held = materialize(corpus.select(doc, label, F.array_compact(F.array_distinct(tokens)).alias("_t")).where(F.size("_t") > 0), "held_terms")
+    keys = held.groupBy(doc, label).agg(F.count("*").alias("_rows"))
+    docs = keys.groupBy(label).agg(F.count("*").cast("double").alias("n"))
+    docs = docs.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "n"))).alias("_docs"))
+    again = materialize(keys.where("_rows > 1").select(F.col(doc).alias("_doc"), F.col(label).alias("_label")), "repeated")
+    cells = held.select(doc, label, F.explode("_t").alias("term"))
+    if not again.isEmpty():
+        same = held[doc].eqNullSafe(again["_doc"]) & held[label].eqNullSafe(again["_label"])
+        merged = held.join(again, same, "left_semi").select(doc, label, F.explode("_t").alias("term")).distinct()
+        cells = held.join(again, same, "left_anti").select(doc, label, F.explode("_t").alias("term")).unionByName(merged)
+    counts = cells.groupBy("term", label).agg(F.count("*").cast("double").alias("n"))
+    by_term = counts.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct(label, "n"))).alias("_has")).crossJoin(F.broadcast(docs))
+    has = lambda d: F.coalesce(F.try_element_at("_has", d["label"]), F.lit(0.0))
+    cells = F.transform("_docs", lambda d: F.struct(has(d).alias("one"), (d["n"] - has(d)).alias("none")))
+    total = lambda cells, name: F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + c[name])
+    by_term = by_term.select("term", cells.alias("_c"))
+    by_term = by_term.select("term", "_c", total("_c", "one").alias("_one"), total("_c", "none").alias("_none"))
+
+    def part(cell: Column, name: str) -> Column:
+        expected = (cell["one"] + cell["none"]) * F.col(f"_{name}") / (F.col("_one") + F.col("_none"))
+        return (cell[name] - expected) * (cell[name] - expected) / expected
+
+    sums = F.aggregate("_c", F.lit(0.0), lambda acc, c: acc + part(c, "none") + part(c, "one"))
+    return by_term.select("term", F.when((F.col("_none") > 0) & (F.size("_c") > 1), sums).otherwise(0.0).alias("statistic"))
+
+
 def split_by_hash(rows: DataFrame, doc: str, train_percent: int) -> tuple[DataFrame, DataFrame]:
     """Train and test rows by a stable hash of the id."""
     bucket = hash_bucket(doc)

@@ -159,6 +159,38 @@ def test_knn_join_over_many_tiles(spark):
         assert [mine[q][i] for i in range(1, 6)] == list(np.lexsort((np.arange(90), d))[:5])
 
 
+def test_presence_test_matches_the_library(spark):
+    """Statistics are those of the library bit for bit: repeated and empty documents, a term of all documents, one label."""
+    from pyspark.ml.stat import ChiSquareTest
+
+    docs = [(i, float(i % 3), ["all", f"t{i % 5}", f"u{i % 7}", f"u{i % 7}"] + ["rare"] * (i == 4)) for i in range(40)]
+    docs += [docs[3], docs[8], (3, 0.0, ["all", "more"]), (None, 1.0, ["all", "t1"]), (None, 1.0, ["all", "t2"]), (50, 2.0, []), (51, 0.0, None)]
+    for some in (docs, [(i, 1.0, t) for i, _, t in docs]):
+        rows = spark.createDataFrame(some, "doc_id long, label double, tokens array<string>")
+        found = {r.term: r.statistic for r in features.presence_test(rows, "doc_id", "label").collect()}
+        names = sorted(found)
+        index = spark.createDataFrame([(t, k) for k, t in enumerate(names)], "term string, term_id long")
+        cells = terms.term_frequencies(rows, "doc_id", "label").drop("tf").distinct().join(index, "term").withColumn("v", F.lit(1.0))
+        vectors = features.count_vectors(cells, len(names), "doc_id", "label", value="v")
+        wanted = {names[r.featureIndex]: r.statistic for r in ChiSquareTest.test(vectors, "features", "label", flatten=True).collect()}
+        assert found == wanted and found["all"] == 0.0
+
+
+def test_chi2_selection_builds_no_vectors(spark, monkeypatch):
+    """The selection counts terms per label; vectors and the library's maps of each term in each task are not needed."""
+    from pyspark.ml.stat import ChiSquareTest
+
+    from corpuslab.plans import load_queries
+    from corpuslab.plans.registry import QUERIES
+
+    def refuse(*args, **kwargs):
+        raise AssertionError("every task would hold a map for each term")
+
+    monkeypatch.setattr(ChiSquareTest, "test", staticmethod(refuse))
+    load_queries()
+    assert QUERIES["ml_chi2_selection"](spark, "/root/testdata/sf0.001").count() == 50
+
+
 def test_chi2_by_hand(spark):
     rows = token_rows(spark, "a a b", "b", "a").withColumn("label", F.when(F.col("doc_id") == 1, "y").otherwise("x"))
     found = {r.term: r.chi2 for r in features.chi2(rows, "label").collect()}
