@@ -24,13 +24,13 @@ from corpuslab.llm.common import Scratch, join_groups, likely
 from corpuslab.llm.components import components
 from corpuslab.llm.tokens import in_chunks
 from corpuslab.llm.windows import BASES, Rolling, word_units
-from corpuslab.operators.ordering import top_n, top_per_group
+from corpuslab.operators.ordering import top_per_group
 
 WORDS = 5
 PERCENT = 75
 FIRST = 8  # columns of a row in the first product
 PIVOTS = 3  # partners of a row in it
-FREQUENT = 400_000  # columns that are put last
+FREQUENT = 400_000  # columns that are put last, about
 LOCAL = 40_000  # of them that a task proposes, each time it has seen 2 ** 21 cells
 LARGE = 4096  # rows of a column that one task compares
 SUMS = 1 << 21  # meetings of rows a task holds before it adds them up
@@ -95,6 +95,36 @@ def _set_rows(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(find, "kind int, doc long, n long, one long, two long, first array<long>")
 
 
+def _frequent(proposed: DataFrame, scratch: Scratch) -> np.ndarray:
+    """The columns (one, n times) that are put last, about FREQUENT, rarer ones first.
+
+    Levels of about 4 % tell how often a column must be met, and a hash which of the lowest level are taken. The driver
+    sees a number per level and 16 bytes per column, packed in tasks.
+    """
+    counted = proposed.groupBy("one").agg(F.sum("n").alias("times"))
+    counted = scratch.settle(counted.withColumn("level", F.floor(16 * F.log2("times"))), "frequent")
+    levels = counted.groupBy("level").agg(F.count("*").alias("m")).orderBy(F.desc("level")).collect()  # at most 16 * 63 rows
+    lowest, share, left = 0, 0.0, FREQUENT
+    for level, m in levels:
+        lowest, share = level, min(1.0, left / m)
+        left -= m
+        if left <= 0:
+            break
+    drawn = F.pmod(F.xxhash64("one"), F.lit(1 << 30)) < int(share * (1 << 30))
+    chosen = counted.where((F.col("level") > lowest) | ((F.col("level") == lowest) & drawn)).select("one", "times")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)] for batch in batches]
+        if held:
+            blobs = [pa.array([np.concatenate(c).astype(np.int64).tobytes()], pa.binary()) for c in zip(*held)]
+            yield pa.RecordBatch.from_arrays(blobs, ["one", "times"])
+
+    packed = chosen.mapInArrow(pack, "one binary, times binary").collect()  # a row per task
+    scratch.drop("frequent")
+    one, times = (np.frombuffer(b"".join(bytes(r[k]) for r in packed), np.int64) for k in (0, 1))
+    return one[np.lexsort((-one, times))].view(np.uint64)
+
+
 def _pivots(signs: DataFrame, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) that look alike: each row with the pivots of its first columns.
 
@@ -512,9 +542,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     named = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = scratch.settle(_set_rows(named, words), "sets")
     sets = found.where("kind = 0").select("doc", "n", "one", "two", "first")
-    frequent = found.where("kind = 1").groupBy("one").agg(F.sum("n").alias("times"))
-    frequent = [r["one"] for r in top_n(frequent, FREQUENT, F.desc("times"), F.col("one")).select("one").collect()]  # at most FREQUENT
-    frequent = np.array(frequent[::-1], np.int64).view(np.uint64)
+    frequent = _frequent(found.where("kind = 1").select("one", "n"), scratch)
     classes = sets.where("n > 0").groupBy("one", "two", "n").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.min("first").alias("first"))
     classes = scratch.settle(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 

@@ -280,6 +280,31 @@ def test_alike_rows_below_the_threshold_make_few_pairs(spark, monkeypatch):
     assert len({r[2] for r in found}) > 20 and made[0] < 150
 
 
+@pytest.mark.parametrize("frequent", [400_000, 300])
+def test_frequent_columns_reach_the_driver_packed(spark, monkeypatch, frequent):
+    """No row per column comes to the driver; the columns are those met most often."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    came, last = [0], []
+    frame = type(spark.range(1))
+    collect, prefix_rows = frame.collect, ngram_join._prefix_rows
+    monkeypatch.setattr(frame, "collect", lambda self: (rows := collect(self), came.append(len(rows)))[0])
+    monkeypatch.setattr(ngram_join, "_prefix_rows", lambda texts, columns, *a: (last.append(columns), prefix_rows(texts, columns, *a))[1])
+    draw, rows = random.Random(5), []
+    passages = [" ".join(f"p{k}x{i}" for i in range(60)) for k in range(20)]
+    for i in range(120):
+        own = " ".join(f"own{i}x{k}" for k in range(90 if i % 3 else 3))
+        rows.append((i, " ".join([own, passages[min(i // 6, draw.randrange(20))], passages[0]])))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id").localCheckpoint()
+    found = ngram_join.near_duplicates(table)
+    assert max(came) < 50
+    assert sorted(map(tuple, collect(found))) == sorted(brute_components(rows))
+    times = Counter(int(c) for _, t in rows for c in ngram_join.shingles(t))
+    met = [times[int(c)] for c in last[0]]
+    assert len(set(last[0].tolist())) == len(met) > 200 and min(met) > 1
+    assert frequent > 300 or len(met) < 400
+    assert {c for c, n in times.items() if n > 1.1 * min(met)} <= set(map(int, last[0]))
+
+
 def test_connect_matches_brute_force():
     """The links of a block connect what all links connect, with fewer links than rows; with ``left``, only across."""
     draw = np.random.default_rng(2)
