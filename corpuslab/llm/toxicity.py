@@ -29,7 +29,8 @@ DECAY = 0.7
 SHAPES = [(1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2)]  # distances between the three characters
 LONGEST = 24
 RUN = 4
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000  # scores a task keeps
+CHUNK = 1 << 19  # characters of text scored at a time
 FEATURES = 64**3
 
 _BLANKS = bytes.maketrans(b"\t\n\v\f\rABCDEFGHIJKLMNOPQRSTUVWXYZ", b"     abcdefghijklmnopqrstuvwxyz")
@@ -186,7 +187,7 @@ def worst_words(docs: DataFrame, model: Model, with_word: bool = False) -> DataF
         known: dict[bytes, float] = {}
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in in_chunks(texts):
+            for lo, hi in in_chunks(texts, CHUNK):
                 worst = _worst(texts[lo:hi], model, known)
                 columns = [batch.column(0).slice(lo, hi - lo), pa.array(worst, pa.float64())]
                 if with_word:
@@ -285,7 +286,7 @@ def clean_rows(docs: DataFrame, model: Model | None) -> DataFrame:
         known: dict[bytes, float] = {}
         for batch in batches:
             texts, clean = batch.column(at).to_pylist(), []
-            for lo, hi in in_chunks(texts):
+            for lo, hi in in_chunks(texts, CHUNK):
                 worst = _worst(texts[lo:hi], model, known)
                 clean.append(model.probability(np.array(worst)) < 0.5)
             if clean:

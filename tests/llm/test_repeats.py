@@ -305,6 +305,18 @@ def test_frequent_columns_reach_the_driver_packed(spark, monkeypatch, frequent):
     assert {c for c, n in times.items() if n > 1.1 * min(met)} <= set(map(int, last[0]))
 
 
+def test_scoring_holds_few_words():
+    """A task that scores many different words keeps a bounded number of scores, in pieces of a bounded size; scores stay the same."""
+    model = toxicity.Model(np.random.default_rng(1).random(toxicity.FEATURES).astype(np.float32), 0.1)
+    texts = [" ".join(f"w{i * 200 + k}" for k in range(200)) for i in range(3000)]
+    known, worst, most = {}, [], 0
+    for lo, hi in toxicity.in_chunks(texts, toxicity.CHUNK):
+        worst += toxicity._worst(texts[lo:hi], model, known)
+        most = max(most, len(known))
+    assert most < 300_000
+    assert worst == [float(model.score_words(t.encode().split(b" ")).max()) for t in texts]
+
+
 def test_connect_matches_brute_force():
     """The links of a block connect what all links connect, with fewer links than rows; with ``left``, only across."""
     draw = np.random.default_rng(2)
