@@ -1,10 +1,13 @@
 """The topic model on collections whose topics are known."""
 
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslab.operators import topic_fit, topics
+from corpuslab.session import dealt, shared_folder
 
 FRUIT, TOOLS = ["apple", "pear", "plum", "fig"], ["saw", "axe", "file", "drill"]
 
@@ -108,3 +111,44 @@ def test_what_an_exchange_sends(spark):
     for _, t, tf in rows:
         wanted[t] = wanted.get(t, 0) + tf
     assert found.keys() == wanted.keys() and all(abs(found[t] - wanted[t]) < 1e-4 for t in wanted)
+
+
+def test_a_sweep_is_that_of_single_cells():
+    """Cells in slices and runs, of terms with few and with many documents, give the shares and counts of one after the other."""
+    rng = np.random.default_rng(4)
+    ptr = np.arange(0, 60 * 12, 12)
+    term = np.concatenate([rng.choice(np.append(np.arange(40), np.zeros(9, int)), 12) for _ in ptr])
+    term = np.unique(term, return_inverse=True)[1].astype(np.int32)
+    tf, k, alpha, beta = rng.integers(1, 5, len(term)).astype(np.float32), 3, 0.5, 0.1
+    cells = topic_fit._Cells(ptr, term, tf)
+    assert {r.each > 0 for r in cells.runs} == {True, False}
+    shares = rng.dirichlet(np.ones(k), len(term)).T.astype(np.float32)
+    theta, phi = rng.random((k, len(ptr))).astype(np.float32) + 1, rng.random((k, cells.n_terms)).astype(np.float32) + 1
+    total, doc = phi.sum(axis=1) + 5.0, np.repeat(np.arange(len(ptr)), 12)
+    wanted = (theta[:, doc] - shares + alpha) * (phi[:, term] - shares + beta) / (total[:, None] - shares)
+    wanted /= wanted.sum(axis=0)
+    mine = np.ascontiguousarray(shares[:, cells.order])
+    by_doc, by_place = cells.sweep(theta, cells.placed(phi), total, alpha, beta, mine)
+    assert np.allclose(mine, wanted[:, cells.order], rtol=1e-4)
+    by_term = cells.by_term(by_place)
+    for topic in range(k):
+        assert np.allclose(by_doc[topic], np.bincount(doc, wanted[topic] * tf), rtol=1e-4)
+        assert np.allclose(by_term[topic], np.bincount(term, wanted[topic] * tf), rtol=1e-4)
+
+
+def test_only_the_model_stays_on_disk(spark, corpus, monkeypatch):
+    """Counts of an exchange go when the next has its own; in the end only the two tables of the model are left."""
+    folder = Path(shared_folder(spark)) / "corpuslab"
+    before, most, remove = {p.name for p in folder.glob("*")}, [], topic_fit.remove
+    found = lambda: {p.name for p in folder.glob("*")} - before
+    monkeypatch.setattr(topic_fit, "remove", lambda *a: (most.append(sum("topic_counts" in n for n in found())), remove(*a)))
+    model = topics.fit(corpus, "doc_id", 2, 40, alpha=0.5)
+    assert len(most) == 2 + 5 and max(most) == 2
+    assert sorted(n.split("-")[0] for n in found()) == ["described_documents", "described_terms"]
+    assert model.terms.count() == 9 and model.documents.count() == 63
+
+
+def test_blocks_are_dealt_one_to_a_partition(spark):
+    rows = spark.range(24 * 10).select(dealt(spark, F.col("id") % 24, 24).alias("block")).repartition(24, "block")
+    per = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count_distinct("block").alias("n")).collect()
+    assert len(per) == 24 and {r.n for r in per} == {1}
